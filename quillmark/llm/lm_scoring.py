@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, mix64, new_vocab, pack, pow2_at_least, unpack, word_hashes
 
 #: Tokens a batch holds at least before it is written out (a longer text is a batch of its own).
-BATCH_TOKENS = 1_500_000
+BATCH_TOKENS = 1_000_000
 #: Distinct n-grams a bucket of the count table should hold.
-BUCKET_KEYS = 1_500_000
+BUCKET_KEYS = 1_000_000
 #: Bits of a digest that are sent; at 10^10 distinct n-grams two share one with odds of 10^-7 each.
 KEY_BITS = 56
 END_WORD = b" end of text"  # holds a blank, so no word equals it
