@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from . import lm_scoring
+from . import lm_scoring, mixing, quality_rules, toxicity, url_filter
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.query,
+    "op2_toxicity": toxicity.query,
+    "op3_quality_rules": quality_rules.query,
+    "op4_mixing": mixing.query,
+    "op5_url_filter": url_filter.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_quality_rules": quality_rules.ORACLE_SQL,
+    "op4_mixing": mixing.ORACLE_SQL,
+    "op5_url_filter": url_filter.ORACLE_SQL,
+}
