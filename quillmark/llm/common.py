@@ -8,6 +8,7 @@ import uuid
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -118,3 +119,73 @@ def unpack(blob: bytes) -> np.ndarray:
 
 def pow2_at_least(n: float) -> int:
     return 1 << max(0, math.ceil(math.log2(max(1.0, n))))
+
+
+class Bitmap:
+    """A Bloom filter of fixed size over 64-bit keys: the broadcast part of a semi-join.
+
+    It lets a join ship only rows that may have a partner. It is 8 MB at any number of keys; with
+    more keys it passes more rows that have none, which the exact join after it removes.
+    """
+
+    BITS = 26
+    _BLOCK = 13
+
+    def __init__(self, keys: DataFrame, column: str):
+        bit = F.shiftrightunsigned(F.col(column), 64 - self.BITS)
+        bits = keys.select(bit.alias("bit")).distinct()
+        blocks = bits.groupBy(F.shiftright("bit", self._BLOCK).alias("block")).agg(
+            F.collect_list(F.col("bit").bitwiseAND((1 << self._BLOCK) - 1).cast("short")).alias("bits")
+        )
+        # At most 2^13 blocks come back; as each is packed on the executors, 1 KB from each.
+        packed = blocks.mapInArrow(self._pack, "block long, bytes binary").collect()
+        table = np.zeros(1 << (self.BITS - 3), np.uint8)
+        size = 1 << (self._BLOCK - 3)
+        for row in packed:
+            table[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["bytes"], np.uint8)
+        self.shared = keys.sparkSession.sparkContext.broadcast(table)
+
+    @staticmethod
+    def _pack(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for bits in batch.column("bits"):
+                flags = np.zeros(1 << Bitmap._BLOCK, np.uint8)
+                flags[np.array(bits.as_py(), np.int64)] = 1
+                out.append(np.packbits(flags, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(out, pa.binary())], ["block", "bytes"])
+
+    def may_hold(self, key: Column) -> Column:
+        """False where the key is surely not among the keys."""
+        shared, bits = self.shared, self.BITS
+
+        @F.pandas_udf("boolean")
+        def probe(keys: pd.Series) -> pd.Series:
+            at = keys.to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - bits)
+            table = shared.value
+            return pd.Series((table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1)
+
+        return probe(key)
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """Connected components of ``edges`` (a, b): rows (node, label), label the least node of its component.
+
+    Every round takes the least label among neighbours and then the label's own label, each round
+    written to the shared folder; no component ever comes together in one task.
+    """
+    both = scratch.table(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = scratch.table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    while True:
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("m"))
+        step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
+        step = scratch.table(step)
+        heads = step.select(F.col("node").alias("head"), F.col("label").alias("of_head"))
+        jumped = step.join(heads, F.col("label") == F.col("head")).select("node", "old", F.least("label", "of_head").alias("label"))
+        jumped = scratch.table(jumped)
+        changed = jumped.where("label <> old").limit(1).count()
+        labels = jumped.select("node", "label")
+        if not changed:
+            return labels
