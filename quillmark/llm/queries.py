@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from . import lm_scoring, mixing, quality_rules, toxicity, url_filter
+from . import (
+    decontamination,
+    html_extraction,
+    lm_scoring,
+    mixing,
+    near_duplicates,
+    quality_rules,
+    quotations,
+    sharding,
+    toxicity,
+    url_filter,
+)
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.query,
@@ -10,10 +21,16 @@ QUERIES = {
     "op3_quality_rules": quality_rules.query,
     "op4_mixing": mixing.query,
     "op5_url_filter": url_filter.query,
+    "op6_html_extraction": html_extraction.query,
+    "op7_sharding": sharding.query,
+    "op8_decontamination": decontamination.query,
+    "op9_quotation_linking": quotations.query,
+    "op10_near_duplicates": near_duplicates.query,
 }
 
 ORACLE_SQL = {
     "op3_quality_rules": quality_rules.ORACLE_SQL,
     "op4_mixing": mixing.ORACLE_SQL,
     "op5_url_filter": url_filter.ORACLE_SQL,
+    "op9_quotation_linking": quotations.ORACLE_SQL,
 }
