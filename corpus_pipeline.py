@@ -1,18 +1,37 @@
-"""The corpus pipeline: quality rules, near duplicates, decontamination, mixing, sharding."""
+"""The corpus pipeline: quality rules, near duplicates, decontamination, mixing, sharding.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last
+return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from quillmark.llm import decontamination, mixing, near_duplicates, quality_rules, sharding
+from quillmark.llm.common import Scratch
+
+STAGES = [
+    ("quality_rules", quality_rules.stage),
+    ("near_duplicates", near_duplicates.stage),
+    ("decontamination", decontamination.stage),
+    ("mixing", mixing.stage),
+    ("sharding", sharding.stage),
+]
+#: SQL can't express near duplicates, edit matching or the splitters; a test holds run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply the stages to ``documents``, each written as Parquet and reread as the next one's docs."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages on ``documents``; each one's rows are written as Parquet and read again by the next."""
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = scratch.table(docs)
     return docs
 
 
-def query(spark, sf_dir):
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir)
