@@ -189,3 +189,14 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         labels = jumped.select("node", "label")
         if not changed:
             return labels
+
+
+def short_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let Arrow batches of whole texts have ``rows`` rows where the session keeps Spark's 10,000.
+
+    Ten thousand texts of some KB, at once in the JVM, on the way and in Python, are most of an
+    executor's memory; a session that sets its own number keeps it.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))

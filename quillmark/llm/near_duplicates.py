@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Bitmap, Scratch, components, mix64, new_vocab, odd_multipliers, word_hashes
+from .common import Bitmap, Scratch, components, mix64, new_vocab, odd_multipliers, short_batches, word_hashes
 
 NGRAM = 5
 #: The threshold as a fraction, so that the exact test needs no rounding.
@@ -193,6 +193,7 @@ def near_duplicates(docs: DataFrame, threshold=SIMILARITY, text: str = "text", d
     each class has ``uid = class_uid``. Other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     scratch = Scratch(spark, "near")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     depth = prefix_length(threshold=threshold)
