@@ -323,7 +323,7 @@ class BlockParser:
             verdict = self._start(container)
             if not verdict:
                 break
-            container = self.tip
+            container = self.last_matched = self.tip
             if verdict == 2:
                 break
         self._look()
