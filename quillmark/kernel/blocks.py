@@ -315,7 +315,7 @@ class BlockParser:
                 break
             container = child
         self.last_matched = container
-        old_tip = self.tip
+        old_tip, verdict = self.tip, 0
         while container.kind not in LINE_LEAVES or container.kind in ("paragraph", "table"):
             self._look()
             if self.blank or (self.indent < 4 and line[self.next] not in self.starts):
@@ -327,6 +327,8 @@ class BlockParser:
             if verdict == 2:
                 break
         self._look()
+        if verdict == 2:  # what a leaf's own mark uses up leaves no blank line
+            self.blank = False
         if self.tip is old_tip and self.tip is not self.last_matched and not self.blank and self.tip.kind == "paragraph":
             self._text()
         else:
