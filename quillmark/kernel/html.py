@@ -16,9 +16,9 @@ FILTERED_TAGS = "title textarea style xmp iframe noembed noframes script plainte
 _FILTERED = re.compile(r"<(?=(?:" + "|".join(FILTERED_TAGS) + r")(?:[ \t\n\r\f/>]|$))", re.I)
 _EXTERNAL = re.compile(r"(<a href=\"https?://[^\"]*\"(?:[^\">]|\"[^\"]*\")*)>")
 _TAG = re.compile(r"<[^>]*>?")
-_WORD = re.compile(r"[^ \t\n]+")
+_BLANK_LINES = re.compile(r"\n(?:[ \t]*\n)+")
+_PLAIN_BREAK = re.compile(r" ?\n[ \t]*")
 TASK = re.compile(r"\[([ xX])\](?=[ \t\n]|$)")
-_PLAIN_LINE = re.compile(r"[ \t]*[^ \t#>`~*+\-_=<0-9|:\[]")
 
 
 def filter_tags(html: str) -> str:
@@ -45,16 +45,42 @@ def encode_id(identifier: str) -> str:
     return quote(identifier, safe="-_.!~*'()")
 
 
+def marked_pattern(options: Options) -> re.Pattern:
+    """Finds what may make a document more than paragraphs of plain text."""
+    inline = r"\\`*_\[\]!<&" + ("~" if options.strikethrough else "")
+    if options.autolink or options.emoji or options.directives or options.deflist or options.tables:
+        inline += ":"
+    if options.autolink:
+        inline += "@"
+    if options.tables:
+        inline += "|"
+    words = r"|[wW]{3}\." if options.autolink else ""
+    return re.compile(rf"^[ \t]*[#>~+\-=0-9]|^(?: {{4}}| {{0,3}}\t)|  $|[{inline}]{words}", re.M)
+
+
+def plain_html(text: str) -> str:
+    """A document of plain paragraphs."""
+    out = []
+    for part in _BLANK_LINES.split(text):
+        part = part.strip(" \t\n")
+        if part:
+            out.append(f"<p>{escape(_PLAIN_BREAK.sub(chr(10), part))}</p>\n")
+    return "".join(out)
+
+
 class HtmlRenderer:
     """Renders parsed documents; one object serves many documents."""
 
     def __init__(self, options: Options | None = None, emoji: dict[str, str] | None = None):
         self.options = options or Options()
         self.emoji = SHORTCODES if emoji is None else emoji
+        self._marked = marked_pattern(self.options)
 
     def render(self, text: str) -> str:
         if not text:
             return ""
+        if not self.options.hard_wraps and not self._marked.search(text):
+            return plain_html(text)
         parser = BlockParser(text, self.options)
         self.inline = InlineParser(self.options, parser.references, parser.footnotes, self.emoji)
         self.out: list[str] = []
