@@ -101,7 +101,7 @@ def md_paragraphs(spark, sf_dir):
 
 def _nation_outline(spark, sf_dir):
     return _sql(spark, sf_dir, rf"""
-        select n_nationkey, concat('# ', n_name, ' #\n', {_joined('s_suppkey', "concat(s_name, case when s_suppkey % 2 = 0 then '\\n---' else '\\n===' end, '\\ntext')")}) as text
+        select n_nationkey, concat('# ', n_name, ' #\n', {_joined('s_suppkey', "concat(s_name, case when s_suppkey % 2 = 0 then '\\n---' else '\\n===' end, '\\n\\ntext\\n')")}) as text
         from {{nation}} join {{supplier}} on n_nationkey = s_nationkey group by n_nationkey, n_name""", "nation", "supplier")
 
 
@@ -114,7 +114,7 @@ def md_outline(spark, sf_dir):
 
 @_query("""select n_nationkey, (row_number() over (partition by n_nationkey order by place))::int as nth, line::int as start_line from (
     select n_nationkey, -1 as place, 1 as line from nation where n_nationkey in (select s_nationkey from supplier)
-    union all select s_nationkey, s_suppkey, 3 * row_number() over (partition by s_nationkey order by s_suppkey) - 1 from supplier join nation on n_nationkey = s_nationkey)""")
+    union all select s_nationkey, s_suppkey, 5 * row_number() over (partition by s_nationkey order by s_suppkey) - 3 from supplier join nation on n_nationkey = s_nationkey)""")
 def md_positions(spark, sf_dir):
     tree = R.nodes(_nation_outline(spark, sf_dir), "n_nationkey", types=["heading"], inline=False, positions=True)
     nth = F.row_number().over(Window.partitionBy("n_nationkey").orderBy("node_id"))
