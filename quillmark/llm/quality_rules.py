@@ -133,7 +133,13 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_cascade(docs).where("kept").select(*docs.columns)
+    """The documents that the cascade keeps.
+
+    A filter pushed into the cascade would repeat each rule's expression inside all later ones; the
+    row number, which the filter also reads, holds it above.
+    """
+    judged = quality_cascade(docs).withColumn("_row", F.monotonically_increasing_id())
+    return judged.where("kept and _row >= 0").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE_SQL = r"""
