@@ -68,8 +68,8 @@ def md_tagfilter(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", M.filter_tags(F.col("html")).alias("html"))
 
 
-@_query("select doc_id, (row_number() over (partition by doc_id) - 1)::int as line, s as text from "
-        "(select doc_id, unnest(case when text = '' then [] when text like '%' || chr(10) then string_split(text, chr(10))[:-2] else string_split(text, chr(10)) end) as s from documents)")
+@_query("select doc_id, (i - 1)::int as line, s[i] as text from (select doc_id, s, unnest(range(1, len(s) + 1)) as i from "
+        "(select doc_id, case when text = '' then [] when text like '%' || chr(10) then string_split(text, chr(10))[:-2] else string_split(text, chr(10)) end as s from documents))")
 def md_line_table(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(M.lines(F.col("text"))).alias("line", "text"))
 

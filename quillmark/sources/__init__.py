@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id`` (a hash of the path), ``path``, ``text``: one row per file; bytes that are no UTF-8 become U+FFFD."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.xxhash64("path").alias("doc_id"), "path", F.expr("decode(content, 'UTF-8')").alias("text"))
+    return files.select(F.xxhash64("path").alias("doc_id"), "path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def write_json(tree: DataFrame, path: str, column: str = "json") -> None:
