@@ -31,11 +31,20 @@ RUN, MIN_PAGES = 6, 3
 COVERED = 0.5
 
 # Elements and class words by what they hold.
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "xmp", "noembed", "noframes", "select", "option", "button", "canvas", "audio", "video")
-SHELL = ("nav", "footer", "aside", "form", "menu", "dialog", "head", "fieldset")
+RAW = ("script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes")
+#: Elements without text of the page, which end with their parent where their own end tag is missing.
+NO_TEXT = ("noscript", "template", "svg", "object", "select", "datalist", "optgroup", "option", "button", "canvas", "audio", "video")
+SHELL = ("nav", "footer", "aside", "menu", "dialog", "head", "fieldset")
 BLOCKS = ("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul").split()
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
-SHELL_WORDS = ("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side-bar footer site-footer header site-header masthead topbar cookie cookies consent gdpr notice notices notification alert disclaimer comment comments reply replies disqus respond newsletter subscribe subscription signup login share sharing social related recommended popup modal overlay widget pagination pager toolbar skip search").split()
+SHELL_WORDS = ("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side-bar footer site-footer header site-header masthead topbar cookie cookies consent gdpr notice notices notification alert disclaimer comment comments reply replies disqus respond newsletter subscribe subscription signup login share sharing social related recommended popup modal overlay widget pagination pager toolbar skip search "
+    "ad-banner ad-box ad-container ad-slot ad-unit comment-body comment-list comments-area cookie-banner left-sidebar main-menu main-nav nav-menu related-posts right-sidebar search-form share-buttons sidebar-left sidebar-right site-nav skip-link social-share").split()
+#: Of these, the words that tell a shell also as a part of a longer class or id; the others do so only as a whole.
+PART_WORDS = "adv advert adverts advertisement advertising adsense sponsored navbar breadcrumb breadcrumbs masthead cookie cookies gdpr comments replies disqus newsletter pagination pager".split()
+#: First parts of a class that speaks of another element ("has-sidebar").
+MODIFIERS = ("has", "is", "no", "not", "with", "without")
+#: Shells in which an article is a comment.
+COMMENT_WORDS = "comment comments comment-body comment-list comments-area reply replies disqus respond".split()
 SHELL_ROLES = ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "form")
 MAIN_WORDS = ("article article-body article-content post-content entry-content post-body content-body story-body main-content").split()
 
@@ -49,7 +58,10 @@ _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s\"'>
 _BLANK = re.compile(r"[\x20\x09-\x0D]+")
 _IN_BLOCKS, _IN_VOID, _IN_RAW, _IN_SHELL = frozenset(BLOCKS), frozenset(VOID), frozenset(RAW), frozenset(SHELL)
 _SHELL_SET, _ROLE_SET, _MAIN_SET = frozenset(SHELL_WORDS), frozenset(SHELL_ROLES), frozenset(MAIN_WORDS)
+_PART_SET, _COMMENT_SET, _IN_NO_TEXT = frozenset(PART_WORDS), frozenset(COMMENT_WORDS), frozenset(NO_TEXT)
 MAIN, OPEN, SHELL_BLOCK = 0, 1, 2
+#: While parsing only: a shell in which an article is not main text, a form, an element without text.
+_FIRM, _FORM, _NONE = 3, 4, 5
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -61,47 +73,82 @@ def _attributes(source: str) -> dict[str, str]:
 
 def _kind(tag: str, source: str, in_main: bool) -> int | None:
     """What an element makes of its content: main text, a shell, or (None) what it is in."""
-    if tag in _IN_SHELL or (tag == "header" and not in_main):
+    if tag in _IN_SHELL:
+        return _FIRM
+    if tag == "header" and not in_main:
         return SHELL_BLOCK
+    if tag == "form":
+        return SHELL_BLOCK if in_main else _FORM
     found = None
     if tag in ("article", "main"):
         found = MAIN
     if source and not source.isspace():
         at = _attributes(source)
         words = {w for w in (at.get("class", "") + " " + at.get("id", "")).lower().split()}
-        parts = words | {p for w in words for p in re.split(r"[-_]+", w)}
+        parts = {p for w in words for p in re.split(r"[-_]+", w) if re.split(r"[-_]+", w)[0] not in MODIFIERS}
         if "hidden" in at or at.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", at.get("style", "")):
-            return SHELL_BLOCK
-        if at.get("role", "").lower() in _ROLE_SET or (tag != "body" and tag != "html" and tag not in ("article", "main") and (words | parts) & _SHELL_SET):
+            return _FIRM
+        if tag != "body" and tag != "html" and tag != "main" and (words & _COMMENT_SET or "comments" in parts):
+            return _FIRM
+        if at.get("role", "").lower() in _ROLE_SET or (tag not in ("body", "html", "article", "main") and (words & _SHELL_SET or parts & _PART_SET)):
             return SHELL_BLOCK
         if at.get("role", "").lower() == "main" or words & _MAIN_SET:
             found = MAIN
     return found
 
 
+def _within(kind: int, own: int | None, tag: str) -> int:
+    """The kind of an element's content, from the kind it is in and what it makes of it."""
+    if own is None or kind == _NONE:
+        return kind
+    if own == MAIN:
+        return kind if kind == _FIRM and tag != "main" else MAIN
+    if own == _FORM:
+        return _FORM if kind == OPEN else kind
+    return _FIRM if kind == _FIRM else own
+
+
 def page_blocks(source: str | None) -> list[tuple[int, str]]:
     """A page's blocks in order: (kind, text) with references decoded and white space as one blank.
 
-    Reader comments are shells also within an article; what stands within a shell is a shell.
+    Reader comments are shells also within an article. What stands within a shell is a shell, but a main
+    element is main text in any shell, and an article in those that a class or a form makes. A form that
+    holds most of the page's text is open, and so are the shells of a page that has nothing else.
     """
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []  # open block elements and the kind they set
     kind = OPEN
     pieces: list[str] = []
     raw: str | None = None
+    unended: set[str] = set()
 
     def close() -> None:
         if pieces:
             text = _BLANK.sub(" ", entities.unescape("".join(pieces))).strip(" ")
             pieces.clear()
-            if text:
+            if text and kind != _NONE:
                 out.append((kind, text))
 
+    def leave(tag: str) -> None:
+        nonlocal kind
+        if any(t == tag for t, _ in stack):
+            close()
+            while stack:
+                t, kind = stack.pop()
+                if t == tag:
+                    break
+
     pos, end = 0, len(source or "")
     while pos < end:
         if raw is not None:  # content that is no markup, up to its end tag
-            m = re.compile(r"</" + re.escape(raw) + r"(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(source, pos)
-            pos, raw = (m.end() if m else end), None
+            m = None if raw in unended else re.compile(r"</" + re.escape(raw) + r"(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(source, pos)
+            if m:
+                pos = m.end()
+            else:  # its parent's end tag ends it too
+                unended.add(raw)
+                m = re.compile(r"</" + re.escape(stack[-1][0] if stack else "body") + r"(?=[\s/>]|\Z)", re.I).search(source, pos)
+                pos = m.start() if m else end
+            raw = None
             continue
         m = _TOKEN.match(source, pos)
         pos = m.end()
@@ -115,28 +162,31 @@ def page_blocks(source: str | None) -> list[tuple[int, str]]:
             if not closing and not attributes.endswith("/"):
                 raw = tag
             continue
+        if tag in _IN_NO_TEXT:
+            if closing:
+                leave(tag)
+            elif not attributes.endswith("/"):
+                if tag in ("option", "button"):  # a further one ends the one before
+                    if stack and stack[-1][0] == tag:
+                        leave(tag)
+                close()
+                stack.append((tag, kind))
+                kind = _NONE
+            continue
         if tag == "br" or tag == "img" or tag == "wbr":
             pieces.append(" ")
             continue
         if tag not in _IN_BLOCKS:
-            if not closing and tag not in _IN_VOID and attributes and kind != SHELL_BLOCK and _kind(tag, attributes, kind == MAIN) == SHELL_BLOCK:
+            if not closing and tag not in _IN_VOID and attributes and kind in (MAIN, OPEN, _FORM) and (own := _kind(tag, attributes, kind == MAIN)) in (SHELL_BLOCK, _FIRM):
                 close()
                 stack.append((tag, kind))
-                kind = SHELL_BLOCK
-            elif closing and any(t == tag for t, _ in stack):
-                close()
-                while stack:
-                    t, kind = stack.pop()
-                    if t == tag:
-                        break
+                kind = own
+            elif closing:
+                leave(tag)
             continue
         close()
         if closing:
-            if any(t == tag for t, _ in stack):
-                while stack:
-                    t, kind = stack.pop()
-                    if t == tag:
-                        break
+            leave(tag)
             continue
         if tag in _IN_VOID:
             continue
@@ -148,10 +198,15 @@ def page_blocks(source: str | None) -> list[tuple[int, str]]:
                 _, kind = stack.pop()
         own = _kind(tag, attributes, kind == MAIN)
         stack.append((tag, kind))
-        if kind != SHELL_BLOCK and own is not None:
-            kind = own
+        kind = _within(kind, own, tag)
     close()
-    return out
+    sizes = [0] * 6
+    for k, text in out:
+        sizes[k] += len(text)
+    form = OPEN if sizes[_FORM] > sizes[MAIN] + sizes[OPEN] else SHELL_BLOCK
+    shell = SHELL_BLOCK if sizes[MAIN] or sizes[OPEN] or form == OPEN else OPEN
+    as_what = {MAIN: MAIN, OPEN: OPEN, SHELL_BLOCK: shell, _FIRM: shell, _FORM: form}
+    return [(as_what[k], text) for k, text in out]
 
 
 def _host(url: str | None) -> str:
