@@ -1,15 +1,17 @@
-"""HTML extraction: markup first, then a host suffix array over what markup leaves open.
-
-A page is cut into blocks. Blocks of an article or main element are the text; blocks of menus, footers,
-adverts and the like are shells. A page without such an element leaves its other blocks open. The
-token streams of all pages' shells and open blocks are concatenated (each page keeps its own separator)
-and their suffixes are sorted, by prefix doubling, as far as RUN tokens: neighbours with equal ranks
-are substrings of at least that length. Those found on MIN_PAGES distinct pages of one host are boilerplate;
-open blocks that they cover for the greater part go, unique runs stay.
-
-Every task sorts the suffixes of its own pages and sends one row for each distinct run and host with
-the number of its pages; a page is in one task only, so the sums are exact, and no host has to fit
-into one task.
+"""HTML extraction by a host's suffix array, with markup as a further signal.
+
+A page is cut into blocks. Markup tells shells (menus, footers, adverts and the like), which are no text;
+blocks of an article or main element and those it leaves open are text but for what repeats. The token
+streams of all blocks of all pages are concatenated (each page keeps its own separator) and their suffixes
+are sorted, by prefix doubling, as far as RUN tokens: neighbours with equal ranks are substrings of at
+least that length. Those found in MIN_PAGES distinct contents of one host are boilerplate: the tokens that they
+cover are cut out, unique runs stay. Copies of a page (equal in its main or its open text, whichever is
+longer) are one content.
+
+Every task sorts the suffixes of its own pages and sends its distinct runs as packed 40-bit prefixes of their
+digests with page counts; a page is in one task only, so no run of enough pages is missed, and no host has to
+fit into one task. Places of the runs that pass are then counted exactly, by whole digests and distinct
+contents.
 """
 
 from __future__ import annotations
@@ -19,16 +21,19 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, new_vocab, odd_multipliers, word_hashes
+from .common import Bitmap, Scratch, mix64, new_vocab, odd_multipliers, pack, short_batches, unpack, word_hashes
 
-#: Tokens of the shortest substring that counts as repeated, and pages of a host that must have it.
+#: Tokens of the shortest substring that counts as repeated, and distinct contents of a host that must have it.
 RUN, MIN_PAGES = 6, 3
-#: Part of an open block that repeated runs must cover for it to go.
-COVERED = 0.5
+#: Bits of a run's digest by which it is first counted, and how many of them number the groups that count.
+PREFIX, GROUP = 40, 12
+#: Runs that a task packs at once.
+PACKED_RUNS = 4_000_000
 
 # Elements and class words by what they hold.
 RAW = ("script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes")
@@ -214,11 +219,6 @@ def _host(url: str | None) -> str:
     return re.split(r"[/?#]", rest, maxsplit=1)[0].lower()
 
 
-def _decided(blocks: list[tuple[int, str]]) -> bool:
-    """Whether markup alone tells the text: it has main blocks, or none are open."""
-    return any(k == MAIN for k, _ in blocks) or not any(k == OPEN for k, _ in blocks)
-
-
 def _ranks(tokens: np.ndarray, length: int) -> np.ndarray:
     """Ranks of all suffixes by their first ``length`` tokens, by prefix doubling."""
     def joined(a: np.ndarray, b: np.ndarray, shift: int) -> np.ndarray:
@@ -238,18 +238,25 @@ def _ranks(tokens: np.ndarray, length: int) -> np.ndarray:
 class _Streams:
     """The concatenated token streams of some pages, each token with its page; separators are unique."""
 
-    def __init__(self, pages: list[tuple[str, list[str]]]):
+    def __init__(self, pages: list[tuple[str, list[str], list[int]]]):
         vocab = new_vocab()
-        parts, owners = [], []
-        for k, (_, blocks) in enumerate(pages):
-            words = " ".join(blocks).lower().split()
+        parts, owners, texts = [], [], []
+        for k, (_, blocks, kinds) in enumerate(pages):
+            words = []
+            for block, kind in zip(blocks, kinds):
+                found = block.lower().split()
+                words += found
+                texts.append(np.full(len(found), kind != SHELL_BLOCK))
+            texts.append(np.zeros(1, bool))
             parts.append(np.fromiter(map(vocab.__getitem__, words), np.int64, len(words)))
             owners.append(np.full(len(words) + 1, k))
         self.hashes = word_hashes(w.encode() for w in vocab)
         separators = len(vocab) + np.arange(len(parts))
         self.tokens = np.concatenate([np.append(p, s) for p, s in zip(parts, separators)]) if parts else np.zeros(0, np.int64)
         self.owner = np.concatenate(owners) if owners else self.tokens
-        self.hosts = word_hashes(h.encode() for h, _ in pages)
+        self.text = np.concatenate(texts) if texts else np.zeros(0, bool)  # whether a token is no shell's
+        self.first = np.searchsorted(self.owner, np.arange(len(parts)))
+        self.hosts = word_hashes(h.encode() for h, _, _ in pages)
         n = len(self.tokens) - RUN + 1
         self.places = np.zeros(0, np.int64)
         if n > 0:
@@ -278,58 +285,122 @@ class _Streams:
         return self.keys(places[new_run]), np.add.reduceat(new_page.astype(np.int64), np.flatnonzero(new_run))
 
 
-def _evidence(batches):
-    for batch in batches:
-        pages = []
-        for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
-            pages.append((_host(url), [t for k, t in page_blocks(source) if k != MAIN]))
-        keys, counts = _Streams(pages).runs()
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["key", "pages"])
+def _stream(batch) -> _Streams:
+    columns = (batch.column(c).to_pylist() for c in ("url", "blocks", "kinds"))
+    return _Streams([(_host(url), blocks, kinds) for url, blocks, kinds in zip(*columns)])
 
 
 def _read(batches):
-    """Each page: its text where markup tells it, else its open blocks with all its runs' keys and places."""
+    """Each page's blocks, their kinds, and the digest of its content."""
     task = TaskContext.get()
     uid = (task.partitionId() if task else 0) << 36
     for batch in batches:
-        texts, blocks, opens = [], [], []
-        urls = batch.column("url").to_pylist()
-        for source in batch.column("html").to_pylist():
-            found = page_blocks(source)
-            if _decided(found):
-                texts.append("\n".join(t for k, t in found if k == MAIN))
-                blocks.append(None)
-                opens.append([])
-            else:
-                texts.append(None)
-                blocks.append([t for k, t in found if k == OPEN])
-                opens.append([t for k, t in found if k == OPEN])
-        stream = _Streams([(_host(u), o) for u, o in zip(urls, opens)])
-        keys: list[list[int]] = [[] for _ in texts]
-        places: list[list[int]] = [[] for _ in texts]
-        first = np.searchsorted(stream.owner, np.arange(len(texts)))
-        for page, place, key in zip(stream.owner[stream.places], stream.places, stream.keys(stream.places)):
-            keys[page].append(int(key))
-            places[page].append(int(place - first[page]))
-        n = len(texts)
-        arrays = [pa.array(range(uid, uid + n), pa.int64()), batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(blocks, pa.list_(pa.string())), pa.array(keys, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))]
+        pages = [page_blocks(source) for source in batch.column("html").to_pylist()]
+        n = len(pages)
+        arrays = [pa.array(range(uid, uid + n), pa.int64()), batch.column("page_id"), batch.column("url"), pa.array([[t for _, t in p] for p in pages], pa.list_(pa.string())),
+                  pa.array([[k for k, _ in p] for p in pages], pa.list_(pa.int32())), pa.array(range(uid, uid + n), pa.int64())]
         uid += n
-        yield pa.RecordBatch.from_arrays(arrays, ["uid", "page_id", "url", "text", "blocks", "keys", "places"])
+        yield pa.RecordBatch.from_arrays(arrays, ["uid", "page_id", "url", "blocks", "kinds", "content"])
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each distinct key, in order, and the sum of its counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[new], np.add.reduceat(counts, new) if len(new) else counts
+
+
+def _packed(batches):
+    """The prefixes of a task's distinct runs, by group, with the number of pages of each."""
+    def packed(held: list):
+        keys, pages = _summed(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
+        pages = np.minimum(pages, MIN_PAGES).astype(np.uint8)
+        groups, low = (keys >> np.uint64(PREFIX - GROUP)).astype(np.int64), keys & np.uint64((1 << (PREFIX - GROUP)) - 1)
+        starts = np.flatnonzero(np.append(True, groups[1:] != groups[:-1])) if len(keys) else np.zeros(0, np.int64)
+        ends = np.append(starts[1:], len(keys))
+        runs = [pack(np.diff(low[a:b], prepend=np.uint64(0))) for a, b in zip(starts, ends)]
+        counts = [zstandard.compress(pages[a:b].tobytes(), 1) for a, b in zip(starts, ends)]
+        return pa.RecordBatch.from_arrays([pa.array(groups[starts], pa.int32()), pa.array(runs, pa.binary()), pa.array(counts, pa.binary())], ["part", "runs", "pages"])
+
+    held, n = [], 0
+    for batch in batches:
+        keys, pages = _stream(batch).runs()
+        held.append((keys.view(np.uint64) >> np.uint64(64 - PREFIX), pages))
+        n += len(keys)
+        if n >= PACKED_RUNS:
+            yield packed(held)
+            held, n = [], 0
+    if n:
+        yield packed(held)
+
+
+def _often(batches):
+    """The prefixes on MIN_PAGES pages at least, from rows in order of their group."""
+    def often(group: int, held: list):
+        keys, pages = _summed(np.concatenate([np.cumsum(unpack(r)) for r, _ in held]), np.concatenate([np.frombuffer(zstandard.decompress(c), np.uint8) for _, c in held]).astype(np.int64))
+        keys = keys[pages >= MIN_PAGES] | np.uint64(group << (PREFIX - GROUP))
+        return pa.RecordBatch.from_arrays([pa.array((keys << np.uint64(64 - PREFIX)).view(np.int64), pa.int64())], ["key"])
+
+    group, held = None, []
+    for batch in batches:
+        for part, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "runs", "pages"))):
+            if part != group and held:
+                yield often(group, held)
+                held = []
+            group = part
+            held.append(row)
+    if held:
+        yield often(group, held)
+
+
+def _places(shared, bits: int):
+    """The places of all runs that may be repeated; a run that lies in shells only has none (-1)."""
+    def places(batches):
+        for batch in batches:
+            stream = _stream(batch)
+            keys = stream.keys(stream.places)
+            at = keys.view(np.uint64) >> np.uint64(64 - bits)
+            found = np.flatnonzero((shared.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
+            place, key = stream.places[found], keys[found]
+            before = np.append(0, np.cumsum(stream.text))
+            page = stream.owner[place]
+            inside = np.where(before[place + RUN] > before[place], place - stream.first[page], -1)
+            columns = [batch.column(c).to_numpy(zero_copy_only=False)[page] for c in ("uid", "content")]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(key, pa.int64()), pa.array(inside, pa.int32())], ["uid", "content", "key", "place"])
+
+    return places
+
+
+def _without(block: str, hit: np.ndarray) -> str:
+    """A block without the tokens that are hit; what is left stays as it is, with a blank at each cut."""
+    spans = [m.span() for m in re.finditer(r"\S+", block)]
+    left, last = [], None
+    for k in np.flatnonzero(~hit):
+        if left:
+            left.append(block[spans[last][1] : spans[k][0]] if last == k - 1 else " ")
+        left.append(block[spans[k][0] : spans[k][1]])
+        last = k
+    return "".join(left)
 
 
 def _cut(batches):
-    """The open blocks that repeated runs don't cover for the greater part."""
+    """The text of each page: its main and open blocks without the tokens that repeated runs cover."""
     for batch in batches:
         texts = []
-        for blocks, covered in zip(batch.column("blocks").to_pylist(), batch.column("covered").to_pylist()):
+        for blocks, kinds, covered in zip(*(batch.column(c).to_pylist() for c in ("blocks", "kinds", "covered"))):
+            if not covered:
+                texts.append("\n".join(b for b, k in zip(blocks, kinds) if k != SHELL_BLOCK))
+                continue
+            sizes = [len(b.lower().split()) for b in blocks]
+            hit = np.zeros(sum(sizes), bool)
+            for i in range(RUN):
+                hit[np.array(covered) + i] = True
             at, kept = 0, []
-            hit = set()
-            for p in covered or ():
-                hit.update(range(p, p + RUN))
-            for block in blocks:
-                n = len(block.lower().split())
-                if sum(i in hit for i in range(at, at + n)) <= COVERED * n or not n:
-                    kept.append(block)
+            for block, kind, n in zip(blocks, kinds, sizes):
+                mine = hit[at : at + n]
+                if kind != SHELL_BLOCK and (text := _without(block, mine) if mine.any() else block):
+                    kept.append(text)
                 at += n
             texts.append("\n".join(kept))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
@@ -338,22 +409,25 @@ def _cut(batches):
 def extract_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text`` for every row of ``pages`` (page_id, url, html).
 
-    Null and empty pages have an empty text. Repeated rows count as pages of their own. A page without
-    a url has the empty host. Other columns of ``pages`` are not read.
+    Null and empty pages have an empty text. Repeated rows and other copies of a page count as one content,
+    and each has its text. A page without a url has the empty host. Other columns of ``pages`` are not read.
     """
     scratch = Scratch(pages.sparkSession, "html")
+    short_batches(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    runs = pages.select("url", "html").mapInArrow(_evidence, "key long, pages long").groupBy("key").agg(F.sum("pages").alias("pages"))
-    repeated = scratch.table(runs.where(F.col("pages") >= MIN_PAGES).select("key"))
-    read = scratch.table(pages.mapInArrow(_read, "uid long, page_id long, url string, text string, blocks array<string>, keys array<long>, places array<int>"))
-    told = read.where("text is not null").select("page_id", "url", "text")
-    left = read.where("text is null")
-    if not left.limit(1).count():
-        return told
-    at = left.select("uid", F.explode(F.arrays_zip("keys", "places")).alias("r")).select("uid", F.col("r.keys").alias("key"), F.col("r.places").alias("place"))
-    covered = at.join(repeated, "key").groupBy("uid").agg(F.collect_list("place").alias("covered"))
-    cut = left.select("uid", "page_id", "url", "blocks").join(covered, "uid", "left").select("page_id", "url", "blocks", "covered")
-    return told.union(cut.mapInArrow(_cut, "page_id long, url string, text string"))
+    read = scratch.table(pages.mapInArrow(_read, "uid long, page_id long, url string, blocks array<string>, kinds array<int>, content long"))
+    own = read.select("uid", "url", "blocks", "kinds", "content")
+    parts = own.mapInArrow(_packed, "part int, runs binary, pages binary").repartition("part").sortWithinPartitions("part")
+    often = Bitmap(parts.mapInArrow(_often, "key long"), "key")
+    places = scratch.table(own.mapInArrow(_places(often.shared, often.BITS), "uid long, content long, key long, place int"))
+    repeated = places.select("key", "content").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_PAGES).select("key")
+    covered = scratch.table(places.where("place >= 0").join(repeated, "key").groupBy("uid").agg(F.collect_list("place").alias("covered")))
+    # Only pages that may have a cut are sent to meet it.
+    touched = Bitmap(covered.select(F.xxhash64("uid").alias("key")), "key").may_hold(F.xxhash64("uid"))
+    text = "page_id long, url string, text string"
+    whole = read.where(~touched).select("page_id", "url", "blocks", "kinds", F.lit(None).cast("array<int>").alias("covered"))
+    cut = read.where(touched).join(covered, "uid", "left").select("page_id", "url", "blocks", "kinds", "covered")
+    return whole.mapInArrow(_cut, text).union(cut.mapInArrow(_cut, text))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -22,3 +22,39 @@ from quillmark.llm.html_extraction import MAIN, OPEN, SHELL_BLOCK, page_blocks
 ])
 def test_what_markup_decides(source, found):
     assert page_blocks(source) == found
+
+
+def extracted(spark, rows):
+    found = html_extraction.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert len(found) == len(rows)
+    return {r.page_id: r.text for r in found}
+
+
+def words(page, n, kind="w"):
+    return " ".join(f"{kind}{page}x{i}" for i in range(n))
+
+
+def test_runs_repeated_in_articles_are_cut(spark):
+    notice = "Please read our notice on how this site works"
+    pages = [(k, f"http://a.net/{k}", f"<main><p>{words(k, 9)}</p><p>{notice}</p></main><div>{words(k, 8, 'o')}</div><div>{notice} {words(k, 2, 'v')}</div>") for k in range(4)]
+    other = [(9, "http://b.net/", f"<article>{notice}</article>")]
+    found = extracted(spark, pages + other)
+    assert found == {9: notice} | {k: f"{words(k, 9)}\n{words(k, 8, 'o')}\n{words(k, 2, 'v')}" for k in range(4)}
+
+
+def test_runs_by_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    passages = [words(k, rng.randint(4, 12), "p") for k in range(12)]
+    texts = [" ".join(rng.choice([*passages, words(k, 3, f"u{j}")]) for j in range(8)) for k in range(30)]
+    pages = [(k, f"http://{'ab'[k % 2]}.net/{k}", f"<article>{t}</article>" if k % 3 else f"<p>{t}</p>") for k, t in enumerate(texts)]
+    wanted = {}
+    for k, t in enumerate(texts):
+        ts, hit = t.split(), set()
+        for i in range(len(ts) - 5):
+            run = f" {' '.join(ts[i : i + 6])} "
+            if len({u for j, u in enumerate(texts) if j % 2 == k % 2 and run in f" {u} "}) >= 3:
+                hit.update(range(i, i + 6))
+        wanted[k] = " ".join(w for i, w in enumerate(ts) if i not in hit)
+    assert extracted(spark, pages) == wanted and any(wanted[k] != t for k, t in enumerate(texts))
