@@ -21,6 +21,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -219,6 +220,12 @@ def _host(url: str | None) -> str:
     return re.split(r"[/?#]", rest, maxsplit=1)[0].lower()
 
 
+def _content(blocks: list[tuple[int, str]]) -> int:
+    """Digest of a page's main or open text, whichever is longer: equal for copies of a page."""
+    texts = [" ".join(" ".join(t for k, t in blocks if k == kind).lower().split()) for kind in (MAIN, OPEN)]
+    return xxhash.xxh64_intdigest(max(texts, key=len)) - (1 << 63)
+
+
 def _ranks(tokens: np.ndarray, length: int) -> np.ndarray:
     """Ranks of all suffixes by their first ``length`` tokens, by prefix doubling."""
     def joined(a: np.ndarray, b: np.ndarray, shift: int) -> np.ndarray:
@@ -298,7 +305,7 @@ def _read(batches):
         pages = [page_blocks(source) for source in batch.column("html").to_pylist()]
         n = len(pages)
         arrays = [pa.array(range(uid, uid + n), pa.int64()), batch.column("page_id"), batch.column("url"), pa.array([[t for _, t in p] for p in pages], pa.list_(pa.string())),
-                  pa.array([[k for k, _ in p] for p in pages], pa.list_(pa.int32())), pa.array(range(uid, uid + n), pa.int64())]
+                  pa.array([[k for k, _ in p] for p in pages], pa.list_(pa.int32())), pa.array([_content(p) for p in pages], pa.int64())]
         uid += n
         yield pa.RecordBatch.from_arrays(arrays, ["uid", "page_id", "url", "blocks", "kinds", "content"])
 

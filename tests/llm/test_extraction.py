@@ -58,3 +58,16 @@ def test_runs_by_brute_force(spark):
                 hit.update(range(i, i + 6))
         wanted[k] = " ".join(w for i, w in enumerate(ts) if i not in hit)
     assert extracted(spark, pages) == wanted and any(wanted[k] != t for k, t in enumerate(texts))
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    page = f"<p>{words(0, 30)}</p>"
+    rows = [(0, "http://a.net/0", page), (0, "http://a.net/0", page), (1, "http://a.net/0?utm_source=x", page), (2, "http://a.net/print/0", f"<nav>Print</nav>{page}")]
+    # Two contents have the passage: the copies count once.
+    passage = words(9, 40, "r")
+    rows += [(k, f"http://b.net/{k}", f"<div>{passage} {words(min(k, 4), 20)}</div>") for k in (3, 4, 5, 6)]
+    rows += [(k, f"http://c.net/{k}", f"<div>{passage} {words(k, 20)}</div>") for k in (7, 8, 9)]
+    found = extracted(spark, rows)
+    assert all(found[k] == words(0, 30) for k in range(3))
+    assert all(found[k] == f"{passage} {words(min(k, 4), 20)}" for k in (3, 4, 5, 6))
+    assert all(found[k] == words(k, 20) for k in (7, 8, 9))
