@@ -3,7 +3,8 @@
 A test item may occur with up to k errors (a share of its length). Cut into k + 1 pieces, at least one
 piece must then occur unchanged. One Aho-Corasick automaton finds all pieces of all items in a text;
 around the hits, Myers' bit-parallel algorithm gives the least edit distance of the whole item to any
-part of the text. Texts and items are compared in lower case with white space as one blank.
+part of the text. Texts and items are compared in lower case with white space as one blank. Short items are
+found without errors only, where no word goes on at either end.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 #: Errors allowed, as a share of an item's characters.
 MAX_ERROR = 0.06
-#: Items below this length say too little to be found by (a few common words).
+#: Items below this length say too little to be found with errors: they are found unchanged, as whole words.
 MIN_CHARS = 32
 #: Characters of items that one automaton holds, some hundred MB; more items take further passes.
 PASS_CHARS = 4_000_000
@@ -59,7 +60,7 @@ class ItemIndex:
     """The pieces of a set of items, and the search for them."""
 
     def __init__(self, items: list[tuple[int, str]], max_error: float):
-        self.items = [(i, t, int(len(t) * max_error)) for i, t in items]
+        self.items = [(i, t, int(len(t) * max_error) if len(t) >= MIN_CHARS else 0) for i, t in items]
         places: dict[str, list[tuple[int, int]]] = {}
         for n, (_, text, k) in enumerate(self.items):
             cuts = [len(text) * p // (k + 1) for p in range(k + 2)]
@@ -86,6 +87,11 @@ class ItemIndex:
         for n, found in starts.items():
             item_id, item, k = self.items[n]
             m, best = len(item), None
+            if m < MIN_CHARS:
+                s = min((s for s in found if self._whole(text, s, s + m)), default=None)
+                if s is not None:
+                    out.append((item_id, 0, m, s, s + m))
+                continue
             lo = hi = None
             for s in [*sorted(found), None]:  # windows that overlap are searched as one
                 if hi is not None and (s is None or s - k > hi):
@@ -101,6 +107,14 @@ class ItemIndex:
                 out.append((item_id, best[0], m, best[1], best[2]))
         return sorted(out)
 
+    @staticmethod
+    def _whole(text: str, start: int, stop: int) -> bool:
+        """Whether no word goes on over either end of this part of the text."""
+        def inner(at: int) -> bool:
+            return 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum()
+
+        return not inner(start) and not inner(stop)
+
     @staticmethod
     def _search(item: str, window: str) -> tuple[int, int]:
         at = window.find(item)
@@ -108,20 +122,20 @@ class ItemIndex:
 
 
 def _passes(benchmark: DataFrame, item_id: str, text: str) -> list:
-    """The items, normalised, in lists of bounded size; null and short items are left out."""
+    """The items, normalised, in lists of bounded size; null and empty items are left out."""
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where("t is not null")
     chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
     n = int(chars // PASS_CHARS) + 1
     for k in range(n):
         part = items.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k) if n > 1 else items
         rows = sorted({(r["i"], normalise(r["t"])) for r in part.collect()}, key=lambda r: (r[0] is None, r[0], r[1]))
-        yield [r for r in rows if len(r[1]) >= MIN_CHARS]
+        yield [r for r in rows if r[1]]
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, max_error: float = MAX_ERROR, text: str = "text", item_id: str = "item_id") -> DataFrame:
     """One row per document and item that occurs in it: ``doc_id`` and where and how closely it does.
 
-    Null and empty texts hold nothing; equal items under several ids are all reported; repeated rows
+    Null and empty texts and items hold nothing; items below MIN_CHARS are found unchanged only; equal items under several ids are all reported; repeated rows
     are reported each. Positions count characters of the normalised text; ``start`` is ``stop`` less
     the item's length. Without items or matches the result has no rows.
     """
