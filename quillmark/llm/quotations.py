@@ -1,7 +1,7 @@
 """Chat formatting by quotation linking.
 
 Each message is parsed into its own text and its quoted passages with their nesting levels. Digests
-of normalised passages (a block, its paragraphs and lines) are joined to the first message of the
+of normalised passages (a block, its paragraphs, lines and sentences) are joined to the first message of the
 same conversation that says them; the closest level decides which message is replied to. Threads follow
 from these links, and messages are numbered so that each stands after the one it replies to.
 """
@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import Bitmap, Scratch
 
-#: Shortest normalised passage that can link two messages.
-MIN_CHARS = 12
 _QUOTE = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)")
+#: A sentence of a normalised passage: up to a full stop or the like (and closing marks) before a blank or the end.
+_SENTENCE = re.compile(r"\S.*?(?:(?<![.!?…])[.!?…]++[\"'”’»)\]]*+(?=\s|\Z)|[。！？]++[”’」』]*+|\Z)", re.S)
 _SAYS = re.compile(r"^(?:on\b.*\bwrote|.{1,80}\b(?:wrote|said|schrieb|a écrit|escribió))\s*:\s*$", re.I)
 _PARSED = "uid long, conv_id long, turn long, role string, own string, quotes array<struct<level:int,hash:long,chars:int>>, said array<long>"
 
@@ -34,9 +34,10 @@ def _normal(passage: str) -> str:
 
 
 def _pieces(block: str) -> set[str]:
-    """A passage as a whole, its paragraphs and its lines, normalised; the short ones left out."""
+    """A passage as a whole, its paragraphs, lines and sentences, normalised; none is too short."""
     parts = {_normal(block), *map(_normal, re.split(r"\n[ \t]*\n", block)), *map(_normal, block.split("\n"))}
-    return {p for p in parts if len(p) >= MIN_CHARS}
+    sentences = {s.strip() for p in parts for s in _SENTENCE.findall(p)}
+    return {p for p in parts | sentences if p}
 
 
 def parse_message(text: str | None) -> tuple[str, list[tuple[int, str]]]:
