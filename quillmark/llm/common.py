@@ -6,9 +6,10 @@ import math
 import tempfile
 import uuid
 from collections import defaultdict
+from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -147,8 +148,6 @@ class Bitmap:
 
     @staticmethod
     def _pack(batches):
-        import pyarrow as pa
-
         for batch in batches:
             out = []
             for bits in batch.column("bits"):
@@ -157,17 +156,28 @@ class Bitmap:
                 out.append(np.packbits(flags, bitorder="little").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(out, pa.binary())], ["block", "bytes"])
 
+    def test(self):
+        """A function of int64 keys, for use inside tasks: False where a key is surely not among the keys."""
+        shared, bits = self.shared, self.BITS
+
+        def probe(keys: np.ndarray) -> np.ndarray:
+            at = keys.view(np.uint64) >> np.uint64(64 - bits)
+            return (shared.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+        return probe
+
     def may_hold(self, key: Column) -> Column:
         """False where the key is surely not among the keys."""
-        shared, bits = self.shared, self.BITS
+        probe = self.test()
+
+        def run(keys: pa.Array) -> pa.Array:
+            return pa.array(probe(keys.to_numpy(zero_copy_only=False)), pa.bool_())
 
-        @F.pandas_udf("boolean")
-        def probe(keys: pd.Series) -> pd.Series:
-            at = keys.to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - bits)
-            table = shared.value
-            return pd.Series((table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1)
+        return F.arrow_udf(run, "boolean")(key)
 
-        return probe(key)
+    def drop(self) -> None:
+        """Give the broadcast's memory back; no later step may use this."""
+        self.shared.destroy()
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -191,12 +201,17 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
-def short_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Let Arrow batches of whole texts have ``rows`` rows where the session keeps Spark's 10,000.
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int = 2000):
+    """Let Arrow batches have ``rows`` rows at most in what runs inside; the session's setting comes back after.
 
-    Ten thousand texts of some KB, at once in the JVM, on the way and in Python, are most of an
-    executor's memory; a session that sets its own number keeps it.
+    Ten thousand texts of some KB (Spark's default), at once in the JVM, on the way and in Python, are
+    most of an executor's memory. Results don't depend on it.
     """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(rows))
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
