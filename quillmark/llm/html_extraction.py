@@ -1,17 +1,17 @@
 """HTML extraction by a host's suffix array, with markup as a further signal.
 
-A page is cut into blocks. Markup tells shells (menus, footers, adverts and the like), which are no text;
-blocks of an article or main element and those it leaves open are text but for what repeats. The token
-streams of all blocks of all pages are concatenated (each page keeps its own separator) and their suffixes
-are sorted, by prefix doubling, as far as RUN tokens: neighbours with equal ranks are substrings of at
-least that length. Those found in MIN_PAGES distinct contents of one host are boilerplate: the tokens that they
-cover are cut out, unique runs stay. Copies of a page (equal in its main or its open text, whichever is
-longer) are one content.
-
-Every task sorts the suffixes of its own pages and sends its distinct runs as packed 40-bit prefixes of their
-digests with page counts; a page is in one task only, so no run of enough pages is missed, and no host has to
-fit into one task. Places of the runs that pass are then counted exactly, by whole digests and distinct
-contents.
+A page is cut into blocks. Markup tells main text (an article or main element), shells (menus, footers, adverts
+and the like), blocks that it leaves open, and parts of an article whose class only hints at a shell. What a site
+repeats outside of its articles is boilerplate: the token streams of the shells, open and hinted blocks of all
+pages are concatenated (each page keeps its own separator) and their suffixes are sorted, by prefix doubling, as
+far as RUN tokens, so that neighbours with equal ranks are substrings of at least that length. Those found in
+MIN_PAGES distinct contents of one host are boilerplate: the tokens of open and hinted blocks that they cover are
+cut out, unique runs stay. Plain paragraphs of an article stay whole, also where articles share them: they are
+its text. Copies of a page (equal in its main or its open text, whichever is longer) are one content.
+
+Every task sorts the suffixes of its own pages and sends each distinct run with the contents that have it (of a
+task's contents MIN_PAGES at most, which decide it); the runs are then counted by key with partial aggregation.
+So no host has to fit into one task, and no run of enough pages is missed.
 """
 
 from __future__ import annotations
@@ -22,19 +22,14 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bitmap, Scratch, mix64, new_vocab, odd_multipliers, pack, short_batches, unpack, word_hashes
+from .common import Bitmap, Scratch, arrow_rows, mix64, new_vocab, odd_multipliers, word_hashes
 
 #: Tokens of the shortest substring that counts as repeated, and distinct contents of a host that must have it.
-RUN, MIN_PAGES = 6, 3
-#: Bits of a run's digest by which it is first counted, and how many of them number the groups that count.
-PREFIX, GROUP = 40, 12
-#: Runs that a task packs at once.
-PACKED_RUNS = 4_000_000
+RUN, MIN_PAGES = 8, 3
 
 # Elements and class words by what they hold.
 RAW = ("script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes")
@@ -51,6 +46,8 @@ PART_WORDS = "adv advert adverts advertisement advertising adsense sponsored nav
 MODIFIERS = ("has", "is", "no", "not", "with", "without")
 #: Shells in which an article is a comment.
 COMMENT_WORDS = "comment comments comment-body comment-list comments-area reply replies disqus respond".split()
+#: Words of shells that inside main text may name a part of it (its heading, a section on related work): they only hint.
+HINTS = "header related social search skip".split()
 SHELL_ROLES = ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "form")
 MAIN_WORDS = ("article article-body article-content post-content entry-content post-body content-body story-body main-content").split()
 
@@ -64,10 +61,11 @@ _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s\"'>
 _BLANK = re.compile(r"[\x20\x09-\x0D]+")
 _IN_BLOCKS, _IN_VOID, _IN_RAW, _IN_SHELL = frozenset(BLOCKS), frozenset(VOID), frozenset(RAW), frozenset(SHELL)
 _SHELL_SET, _ROLE_SET, _MAIN_SET = frozenset(SHELL_WORDS), frozenset(SHELL_ROLES), frozenset(MAIN_WORDS)
+_HINT_SET, _SHELL_IN_MAIN = frozenset(HINTS), _SHELL_SET - frozenset(HINTS)
 _PART_SET, _COMMENT_SET, _IN_NO_TEXT = frozenset(PART_WORDS), frozenset(COMMENT_WORDS), frozenset(NO_TEXT)
-MAIN, OPEN, SHELL_BLOCK = 0, 1, 2
+MAIN, OPEN, SHELL_BLOCK, HINTED = 0, 1, 2, 3
 #: While parsing only: a shell in which an article is not main text, a form, an element without text.
-_FIRM, _FORM, _NONE = 3, 4, 5
+_FIRM, _FORM, _NONE = 4, 5, 6
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -96,10 +94,12 @@ def _kind(tag: str, source: str, in_main: bool) -> int | None:
             return _FIRM
         if tag != "body" and tag != "html" and tag != "main" and (words & _COMMENT_SET or "comments" in parts):
             return _FIRM
-        if at.get("role", "").lower() in _ROLE_SET or (tag not in ("body", "html", "article", "main") and (words & _SHELL_SET or parts & _PART_SET)):
+        if at.get("role", "").lower() in _ROLE_SET or (tag not in ("body", "html", "article", "main") and (words & (_SHELL_IN_MAIN if in_main else _SHELL_SET) or parts & _PART_SET)):
             return SHELL_BLOCK
         if at.get("role", "").lower() == "main" or words & _MAIN_SET:
             found = MAIN
+        elif in_main and tag not in ("article", "main") and words & _HINT_SET:
+            found = HINTED
     return found
 
 
@@ -111,6 +111,8 @@ def _within(kind: int, own: int | None, tag: str) -> int:
         return kind if kind == _FIRM and tag != "main" else MAIN
     if own == _FORM:
         return _FORM if kind == OPEN else kind
+    if own == HINTED:
+        return HINTED if kind == MAIN else kind
     return _FIRM if kind == _FIRM else own
 
 
@@ -123,6 +125,7 @@ def page_blocks(source: str | None) -> list[tuple[int, str]]:
     """
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []  # open block elements and the kind they set
+    opened: dict[str, int] = {}  # how many of each tag are on the stack
     kind = OPEN
     pieces: list[str] = []
     raw: str | None = None
@@ -135,14 +138,21 @@ def page_blocks(source: str | None) -> list[tuple[int, str]]:
             if text and kind != _NONE:
                 out.append((kind, text))
 
-    def leave(tag: str) -> None:
+    def enter(tag: str) -> None:
+        stack.append((tag, kind))
+        opened[tag] = opened.get(tag, 0) + 1
+
+    def pop() -> str:
         nonlocal kind
-        if any(t == tag for t, _ in stack):
+        tag, kind = stack.pop()
+        opened[tag] -= 1
+        return tag
+
+    def leave(tag: str) -> None:
+        if opened.get(tag):
             close()
-            while stack:
-                t, kind = stack.pop()
-                if t == tag:
-                    break
+            while pop() != tag:
+                pass
 
     pos, end = 0, len(source or "")
     while pos < end:
@@ -176,16 +186,16 @@ def page_blocks(source: str | None) -> list[tuple[int, str]]:
                     if stack and stack[-1][0] == tag:
                         leave(tag)
                 close()
-                stack.append((tag, kind))
+                enter(tag)
                 kind = _NONE
             continue
         if tag == "br" or tag == "img" or tag == "wbr":
             pieces.append(" ")
             continue
         if tag not in _IN_BLOCKS:
-            if not closing and tag not in _IN_VOID and attributes and kind in (MAIN, OPEN, _FORM) and (own := _kind(tag, attributes, kind == MAIN)) in (SHELL_BLOCK, _FIRM):
+            if not closing and tag not in _IN_VOID and attributes and kind in (MAIN, OPEN, HINTED, _FORM) and (own := _kind(tag, attributes, kind in (MAIN, HINTED))) in (SHELL_BLOCK, _FIRM):
                 close()
-                stack.append((tag, kind))
+                enter(tag)
                 kind = own
             elif closing:
                 leave(tag)
@@ -197,21 +207,21 @@ def page_blocks(source: str | None) -> list[tuple[int, str]]:
         if tag in _IN_VOID:
             continue
         while stack and stack[-1][0] == "p":  # a block ends an open paragraph
-            _, kind = stack.pop()
+            pop()
         if tag in ("li", "dd", "dt", "tr", "td", "th"):
             same = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}[tag]
             while stack and stack[-1][0] in same:
-                _, kind = stack.pop()
-        own = _kind(tag, attributes, kind == MAIN)
-        stack.append((tag, kind))
+                pop()
+        own = _kind(tag, attributes, kind in (MAIN, HINTED))
+        enter(tag)
         kind = _within(kind, own, tag)
     close()
-    sizes = [0] * 6
+    sizes = [0] * 7
     for k, text in out:
         sizes[k] += len(text)
     form = OPEN if sizes[_FORM] > sizes[MAIN] + sizes[OPEN] else SHELL_BLOCK
     shell = SHELL_BLOCK if sizes[MAIN] or sizes[OPEN] or form == OPEN else OPEN
-    as_what = {MAIN: MAIN, OPEN: OPEN, SHELL_BLOCK: shell, _FIRM: shell, _FORM: form}
+    as_what = {MAIN: MAIN, OPEN: OPEN, HINTED: HINTED, SHELL_BLOCK: shell, _FIRM: shell, _FORM: form}
     return [(as_what[k], text) for k, text in out]
 
 
@@ -243,58 +253,52 @@ def _ranks(tokens: np.ndarray, length: int) -> np.ndarray:
 
 
 class _Streams:
-    """The concatenated token streams of some pages, each token with its page; separators are unique."""
+    """The concatenated token streams of some pages, each token with its page; separators are unique.
+
+    ``kinds``: whose blocks the streams have. A page's place counts its tokens of these blocks.
+    """
 
-    def __init__(self, pages: list[tuple[str, list[str], list[int]]]):
+    def __init__(self, batch, kinds: tuple[int, ...]):
         vocab = new_vocab()
-        parts, owners, texts = [], [], []
-        for k, (_, blocks, kinds) in enumerate(pages):
-            words = []
-            for block, kind in zip(blocks, kinds):
-                found = block.lower().split()
-                words += found
-                texts.append(np.full(len(found), kind != SHELL_BLOCK))
-            texts.append(np.zeros(1, bool))
+        parts, owners, hosts = [], [], []
+        for k, (url, blocks, of) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("url", "blocks", "kinds")))):
+            words = [w for block, kind in zip(blocks, of) if kind in kinds for w in block.lower().split()]
             parts.append(np.fromiter(map(vocab.__getitem__, words), np.int64, len(words)))
             owners.append(np.full(len(words) + 1, k))
-        self.hashes = word_hashes(w.encode() for w in vocab)
+            hosts.append(_host(url).encode())
+        self.hashes, self.hosts = word_hashes(w.encode() for w in vocab), word_hashes(hosts)
         separators = len(vocab) + np.arange(len(parts))
         self.tokens = np.concatenate([np.append(p, s) for p, s in zip(parts, separators)]) if parts else np.zeros(0, np.int64)
         self.owner = np.concatenate(owners) if owners else self.tokens
-        self.text = np.concatenate(texts) if texts else np.zeros(0, bool)  # whether a token is no shell's
         self.first = np.searchsorted(self.owner, np.arange(len(parts)))
-        self.hosts = word_hashes(h.encode() for h, _, _ in pages)
         n = len(self.tokens) - RUN + 1
         self.places = np.zeros(0, np.int64)
-        if n > 0:
-            self.places = np.flatnonzero(self.owner[:n] == self.owner[RUN - 1 :])
-            # A window that ends on its page's separator is no run.
-            self.places = self.places[self.tokens[self.places + RUN - 1] < len(vocab)]
+        if n > 0:  # a window that ends on its page's separator is no run
+            same = np.flatnonzero(self.owner[:n] == self.owner[RUN - 1 :])
+            self.places = same[self.tokens[same + RUN - 1] < len(vocab)]
 
     def keys(self, places: np.ndarray) -> np.ndarray:
         """Digests of host and run at each place."""
         total = mix64(self.hosts[self.owner[places]])
         for i, m in enumerate(odd_multipliers(RUN, 41)):
-            total = total + mix64(self.hashes[self.tokens[places + i]] * m)
+            total = total + mix64(self.hashes * m)[self.tokens[places + i]]
         return mix64(total).view(np.int64)
 
-    def runs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Each distinct run of a host, and on how many of the pages it is."""
+    def runs(self, contents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each distinct run of a host, from the sorted suffixes, with the contents that have it (MIN_PAGES at most)."""
         if not len(self.places):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         host = np.unique(self.hosts, return_inverse=True)[1][self.owner[self.places]]
-        rank = _ranks(self.tokens, RUN)[self.places]
-        runs = rank * (int(host.max()) + 1) + host
-        order = np.lexsort((self.owner[self.places], runs))
-        runs, owner, places = runs[order], self.owner[self.places][order], self.places[order]
+        of = np.unique(contents, return_inverse=True)[1][self.owner[self.places]]
+        runs = _ranks(self.tokens, RUN)[self.places] * (int(host.max()) + 1) + host
+        order = np.lexsort((of, runs))
+        runs, of, places = runs[order], of[order], self.places[order]
         new_run = np.append(True, runs[1:] != runs[:-1])
-        new_page = new_run | np.append(True, owner[1:] != owner[:-1])
-        return self.keys(places[new_run]), np.add.reduceat(new_page.astype(np.int64), np.flatnonzero(new_run))
-
-
-def _stream(batch) -> _Streams:
-    columns = (batch.column(c).to_pylist() for c in ("url", "blocks", "kinds"))
-    return _Streams([(_host(url), blocks, kinds) for url, blocks, kinds in zip(*columns)])
+        new = np.flatnonzero(new_run | np.append(True, of[1:] != of[:-1]))
+        run = np.cumsum(new_run)[new]  # a run's contents stand together
+        nth = np.arange(len(new)) - np.searchsorted(run, run)
+        new = new[nth < MIN_PAGES]
+        return self.keys(places[new]), contents[self.owner[places[new]]]
 
 
 def _read(batches):
@@ -310,71 +314,24 @@ def _read(batches):
         yield pa.RecordBatch.from_arrays(arrays, ["uid", "page_id", "url", "blocks", "kinds", "content"])
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each distinct key, in order, and the sum of its counts."""
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[new], np.add.reduceat(counts, new) if len(new) else counts
-
+def _runs(batches):
+    """The runs of all blocks but an article's plain ones, with the contents that have them."""
+    for batch in batches:
+        keys, contents = _Streams(batch, (OPEN, SHELL_BLOCK, HINTED)).runs(batch.column("content").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(contents, pa.int64())], ["key", "content"])
 
-def _packed(batches):
-    """The prefixes of a task's distinct runs, by group, with the number of pages of each."""
-    def packed(held: list):
-        keys, pages = _summed(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
-        pages = np.minimum(pages, MIN_PAGES).astype(np.uint8)
-        groups, low = (keys >> np.uint64(PREFIX - GROUP)).astype(np.int64), keys & np.uint64((1 << (PREFIX - GROUP)) - 1)
-        starts = np.flatnonzero(np.append(True, groups[1:] != groups[:-1])) if len(keys) else np.zeros(0, np.int64)
-        ends = np.append(starts[1:], len(keys))
-        runs = [pack(np.diff(low[a:b], prepend=np.uint64(0))) for a, b in zip(starts, ends)]
-        counts = [zstandard.compress(pages[a:b].tobytes(), 1) for a, b in zip(starts, ends)]
-        return pa.RecordBatch.from_arrays([pa.array(groups[starts], pa.int32()), pa.array(runs, pa.binary()), pa.array(counts, pa.binary())], ["part", "runs", "pages"])
 
-    held, n = [], 0
-    for batch in batches:
-        keys, pages = _stream(batch).runs()
-        held.append((keys.view(np.uint64) >> np.uint64(64 - PREFIX), pages))
-        n += len(keys)
-        if n >= PACKED_RUNS:
-            yield packed(held)
-            held, n = [], 0
-    if n:
-        yield packed(held)
-
-
-def _often(batches):
-    """The prefixes on MIN_PAGES pages at least, from rows in order of their group."""
-    def often(group: int, held: list):
-        keys, pages = _summed(np.concatenate([np.cumsum(unpack(r)) for r, _ in held]), np.concatenate([np.frombuffer(zstandard.decompress(c), np.uint8) for _, c in held]).astype(np.int64))
-        keys = keys[pages >= MIN_PAGES] | np.uint64(group << (PREFIX - GROUP))
-        return pa.RecordBatch.from_arrays([pa.array((keys << np.uint64(64 - PREFIX)).view(np.int64), pa.int64())], ["key"])
-
-    group, held = None, []
-    for batch in batches:
-        for part, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "runs", "pages"))):
-            if part != group and held:
-                yield often(group, held)
-                held = []
-            group = part
-            held.append(row)
-    if held:
-        yield often(group, held)
-
-
-def _places(shared, bits: int):
-    """The places of all runs that may be repeated; a run that lies in shells only has none (-1)."""
+def _places(may_hold):
+    """The places of open and hinted tokens at which a repeated run may begin."""
     def places(batches):
         for batch in batches:
-            stream = _stream(batch)
+            stream = _Streams(batch, (OPEN, HINTED))
             keys = stream.keys(stream.places)
-            at = keys.view(np.uint64) >> np.uint64(64 - bits)
-            found = np.flatnonzero((shared.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
-            place, key = stream.places[found], keys[found]
-            before = np.append(0, np.cumsum(stream.text))
+            found = np.flatnonzero(may_hold(keys))
+            place = stream.places[found]
             page = stream.owner[place]
-            inside = np.where(before[place + RUN] > before[place], place - stream.first[page], -1)
-            columns = [batch.column(c).to_numpy(zero_copy_only=False)[page] for c in ("uid", "content")]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(key, pa.int64()), pa.array(inside, pa.int32())], ["uid", "content", "key", "place"])
+            uid = batch.column("uid").to_numpy()[page]
+            yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(keys[found], pa.int64()), pa.array(place - stream.first[page], pa.int32())], ["uid", "key", "place"])
 
     return places
 
@@ -392,48 +349,47 @@ def _without(block: str, hit: np.ndarray) -> str:
 
 
 def _cut(batches):
-    """The text of each page: its main and open blocks without the tokens that repeated runs cover."""
+    """The text of each page: its blocks but shells, without the tokens that repeated runs cover."""
     for batch in batches:
         texts = []
         for blocks, kinds, covered in zip(*(batch.column(c).to_pylist() for c in ("blocks", "kinds", "covered"))):
-            if not covered:
-                texts.append("\n".join(b for b, k in zip(blocks, kinds) if k != SHELL_BLOCK))
-                continue
-            sizes = [len(b.lower().split()) for b in blocks]
-            hit = np.zeros(sum(sizes), bool)
-            for i in range(RUN):
-                hit[np.array(covered) + i] = True
-            at, kept = 0, []
-            for block, kind, n in zip(blocks, kinds, sizes):
-                mine = hit[at : at + n]
-                if kind != SHELL_BLOCK and (text := _without(block, mine) if mine.any() else block):
-                    kept.append(text)
-                at += n
-            texts.append("\n".join(kept))
+            shown = [k for k in kinds if k != SHELL_BLOCK]
+            blocks = [b for b, k in zip(blocks, kinds) if k != SHELL_BLOCK]
+            if covered:
+                sizes = [len(b.lower().split()) if k != MAIN else 0 for b, k in zip(blocks, shown)]
+                hit = np.zeros(sum(sizes), bool)
+                for i in range(RUN):
+                    hit[np.array(covered) + i] = True
+                ends = np.cumsum(sizes)
+                blocks = [_without(b, hit[end - n : end]) if hit[end - n : end].any() else b for b, n, end in zip(blocks, sizes, ends)]
+            texts.append("\n".join(b for b in blocks if b))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text`` for every row of ``pages`` (page_id, url, html).
 
-    Null and empty pages have an empty text. Repeated rows and other copies of a page count as one content,
-    and each has its text. A page without a url has the empty host. Other columns of ``pages`` are not read.
+    Null and empty pages have an empty text; a table without rows gives none. Repeated rows and other copies of a
+    page count as one content, and each has its text. A page without a url has the empty host. Texts of any length
+    are read in one pass. Other columns of ``pages``, of any name, are not read.
     """
-    scratch = Scratch(pages.sparkSession, "html")
-    short_batches(pages.sparkSession)
+    spark = pages.sparkSession
+    scratch = Scratch(spark, "html")
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    read = scratch.table(pages.mapInArrow(_read, "uid long, page_id long, url string, blocks array<string>, kinds array<int>, content long"))
-    own = read.select("uid", "url", "blocks", "kinds", "content")
-    parts = own.mapInArrow(_packed, "part int, runs binary, pages binary").repartition("part").sortWithinPartitions("part")
-    often = Bitmap(parts.mapInArrow(_often, "key long"), "key")
-    places = scratch.table(own.mapInArrow(_places(often.shared, often.BITS), "uid long, content long, key long, place int"))
-    repeated = places.select("key", "content").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_PAGES).select("key")
-    covered = scratch.table(places.where("place >= 0").join(repeated, "key").groupBy("uid").agg(F.collect_list("place").alias("covered")))
-    # Only pages that may have a cut are sent to meet it.
+    with arrow_rows(spark):
+        read = scratch.table(pages.mapInArrow(_read, "uid long, page_id long, url string, blocks array<string>, kinds array<int>, content long"))
+        runs = read.select("url", "blocks", "kinds", "content").mapInArrow(_runs, "key long, content long")
+        repeated = scratch.table(runs.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_PAGES).select("key"))
+        often = Bitmap(repeated, "key")
+        places = read.select("uid", "url", "blocks", "kinds").mapInArrow(_places(often.test()), "uid long, key long, place int")
+        covered = scratch.table(places.join(repeated, "key", "left_semi").groupBy("uid").agg(F.collect_set("place").alias("covered")))
+        often.drop()
+    # Only pages that have a cut are sent to meet it.
     touched = Bitmap(covered.select(F.xxhash64("uid").alias("key")), "key").may_hold(F.xxhash64("uid"))
+    read = read.withColumn("_touched", touched)
     text = "page_id long, url string, text string"
-    whole = read.where(~touched).select("page_id", "url", "blocks", "kinds", F.lit(None).cast("array<int>").alias("covered"))
-    cut = read.where(touched).join(covered, "uid", "left").select("page_id", "url", "blocks", "kinds", "covered")
+    whole = read.where(~F.col("_touched")).select("page_id", "url", "blocks", "kinds", F.lit(None).cast("array<int>").alias("covered"))
+    cut = read.where("_touched").join(covered, "uid", "left").select("page_id", "url", "blocks", "kinds", "covered")
     return whole.mapInArrow(_cut, text).union(cut.mapInArrow(_cut, text))
 
 
