@@ -1,23 +1,24 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Each rule names the columns it needs and when it rejects. A bounded sample gives each rule's cost
-(measured seconds) and how much it rejects; rules run in order of rejection per cost, and a column
-is only computed for rows that no earlier rule has rejected. The order doesn't change any verdict.
+Each rule names the columns it needs and when it rejects. A bounded sample gives, in one job, which rules reject
+which rows and how many characters, words and lines there are; a rule's cost is the work that its columns take at
+these amounts. The next rule is always the one that rejects most of the rows still left per cost of the columns
+that no rule before has computed. A column is only computed for rows that no earlier rule has rejected. The order
+doesn't change any verdict.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, WORD_CLASS, Scratch
+from .common import SPACE_CLASS, WORD_CLASS
 
-#: Rows of the sample on which costs and rejections are measured, at most.
-SAMPLE_ROWS = 400
+#: Rows of the sample on which costs and rejections are measured, at most: those with the least digests of their text.
+SAMPLE_ROWS = 1000
 MIN_WORDS, MAX_REPEATED = 50, 0.5
 MAX_SYMBOLS, MAX_DUP_LINES, MAX_CAPITALS, MAX_SHOUTS = 0.1, 0.5, 0.4, 0.5
 MEAN_WORD = (2.5, 12.0)
@@ -58,6 +59,15 @@ FEATURES: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
 }
 
 
+#: What a column costs for each character, word or line of a text, in the time that looking at a character takes.
+#: Values of one measurement; only their ratios matter, and only for the order.
+COSTS: dict[str, tuple[str, float]] = {
+    "_words": ("chars", 3.0), "n_words": ("rows", 1.0), "word_chars": ("chars", 1.0), "n_symbols": ("chars", 2.0), "_lines": ("chars", 2.0),
+    "n_dup_lines": ("lines", 20.0), "_n_lines": ("rows", 1.0), "_capitals": ("chars", 2.0), "_shouts": ("chars", 2.0), "_windows": ("words", 20.0),
+    "_sorted": ("words", 60.0), "_starts": ("words", 10.0), "n_repeat_words": ("words", 5.0),
+}
+
+
 @dataclass(frozen=True)
 class Rule:
     """``needs``: names in :data:`FEATURES`; ``rejects``: when a row with these columns goes."""
@@ -79,50 +89,72 @@ RULES = (
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def _needed(names) -> list[str]:
+    """The features named and all that they follow from, in an order of computing."""
+    out: list[str] = []
+    for name in names:
+        out += [x for x in [*_needed(FEATURES[name][0]), name] if x not in out]
+    return out
+
+
 def _with(df: DataFrame, names, guard: Column | None) -> DataFrame:
     """Add features and what they need; under ``guard`` other rows get null, at no cost."""
-    for name in names:
+    for name in _needed(names):
         if name not in df.columns:
-            needs, value = FEATURES[name]
-            df = _with(df, needs, guard)
-            df = df.withColumn(name, F.when(guard, value()) if guard is not None else value())
+            value = FEATURES[name][1]()
+            df = df.withColumn(name, F.when(guard, value) if guard is not None else value)
     return df
 
 
-def rule_order(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by rejected share per second on the sample, best first; as given on an empty sample."""
-    scratch = Scratch(docs.sparkSession, "rules")
-    sample = scratch.table(docs.where(F.pmod(F.xxhash64("_text"), F.lit(16)) == 3).limit(sample_rows))
-    worth = {}
-    sample.agg(F.count("_text")).collect()
-    for rule in rules:
-        began = time.perf_counter()
-        rejected = _with(sample, rule.needs, None).agg(F.count_if(rule.rejects()), F.count(F.lit(1))).first()
-        worth[rule.name] = (rejected[0] / max(1, rejected[1]) + 1e-6) / (time.perf_counter() - began)
-    scratch.drop(sample)
-    return sorted(rules, key=lambda r: -worth[r.name])
+def greedy_order(rules, rejected: dict[int, int], amounts: dict[str, float], given=()) -> list[Rule]:
+    """Rules by rows rejected per cost, each counted on the rows and columns that the rules before leave.
+
+    ``rejected``: number of rows by the set of rules that reject them (bit k: rule k). ``given``: columns there anyway.
+    """
+    left, have, order = dict(enumerate(rules)), set(_needed(given)), []
+    while left:
+        def worth(k: int) -> tuple[float, int]:
+            cost = sum(COSTS[x][1] * amounts[COSTS[x][0]] for x in _needed(left[k].needs) if x not in have)
+            return -sum(n for mask, n in rejected.items() if mask >> k & 1) / (cost + amounts["rows"] + 1), k
+
+        k = min(left, key=worth)
+        rule = left.pop(k)
+        order.append(rule)
+        have.update(_needed(rule.needs))
+        rejected = {mask: n for mask, n in rejected.items() if not mask >> k & 1}
+    return order
+
+
+def rule_order(texts: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS, given=()) -> list[Rule]:
+    """The order of the rules by a sample of ``texts`` (_text); as given on an empty sample."""
+    sample = texts.orderBy(F.xxhash64("_text")).limit(sample_rows)
+    sample = _with(sample, [x for r in rules for x in r.needs] + ["_n_lines", "n_words"], None)
+    mask = sum((F.coalesce(r.rejects(), F.lit(False)).cast("long") * (1 << k) for k, r in enumerate(rules)), F.lit(0).cast("long"))
+    amounts = (F.count(F.lit(1)).alias("rows"), F.sum(F.length(_t())).alias("chars"), F.sum("n_words").alias("words"), F.sum("_n_lines").alias("lines"))
+    found = sample.groupBy(mask.alias("mask")).agg(*amounts).collect()  # a row for each set of rules that occurs: sample_rows at most
+    total = {x: float(sum(r[x] or 0 for r in found)) for x in ("rows", "chars", "words", "lines")}
+    return greedy_order(rules, {r["mask"]: r["rows"] for r in found}, total, given)
 
 
 def quality_cascade(docs: DataFrame, rules=RULES, text: str = "text", report: bool = False, order: list[Rule] | None = None) -> DataFrame:
     """``docs`` with ``kept``: false if a rule rejects the text.
 
-    ``report``: also the base counts, for every row. A null text has no words. Equal texts get equal
-    verdicts; nothing else of a row is read, so columns of any name may stand beside it, but for the
-    names of the counts, ``kept`` and ``_text``.
+    ``report``: also the base counts, for every row (so the cascade saves only what they don't need). A null or
+    empty text has no words and is rejected as too short. Equal texts get equal verdicts; repeated rows stay
+    repeated; a text of any length is read as a whole; a table without rows gives none. Nothing else of a row is
+    read, and columns of any name pass through, but for those named as an output column, which it replaces.
     """
-    df = docs.withColumn("_text", F.col(text))
-    order = order or rule_order(df.select("_text"), rules)
+    outputs = (*(BASE if report else ()), "kept")
+    df = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c not in outputs]).alias("_row"), F.col(f"`{text}`").alias("_text"))
+    order = order or rule_order(df.select("_text"), rules, given=BASE if report else ())
     if report:
         df = _with(df, BASE, None)
-        extra = BASE
-    else:
-        extra = ()
     df = df.withColumn("_alive", F.lit(True))
-    for k, rule in enumerate(order):
+    for rule in order:
         df = _with(df, rule.needs, F.col("_alive"))
         alive = F.col("_alive") & ~F.coalesce(rule.rejects(), F.lit(False))
         df = df.withColumn("_alive", alive)
-    return df.select(*[F.col(f"`{c}`") for c in docs.columns], *extra, F.col("_alive").alias("kept"))
+    return df.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in outputs], *outputs[:-1], F.col("_alive").alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -133,13 +165,14 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the cascade keeps.
+    """The documents that the cascade keeps, under all their columns; null and empty texts go.
 
     A filter pushed into the cascade would repeat each rule's expression inside all later ones; the
     row number, which the filter also reads, holds it above.
     """
-    judged = quality_cascade(docs).withColumn("_row", F.monotonically_increasing_id())
-    return judged.where("kept and _row >= 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    judged = quality_cascade(whole).withColumn("_n", F.monotonically_increasing_id())
+    return judged.where("kept and _n >= 0").select("row.*")
 
 
 ORACLE_SQL = r"""
