@@ -2,7 +2,8 @@
 
 Tokens are added up per source, the sources' targets follow from their weights, and a source's rate
 is target / tokens. A document is emitted floor(rate) times, plus one copy if its hash falls below
-the rate's fraction (a Bernoulli draw seeded by the hash, so reruns agree).
+the rate's fraction (a Bernoulli draw seeded by the hash, so reruns agree). The hash is of the id and the text;
+rows that are equal in both also have their place in the table in it, so that they are drawn apart.
 """
 
 from __future__ import annotations
@@ -10,87 +11,95 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, word_count
+from .common import Bitmap, Scratch, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_REPEATS = 2.0
 SEED = "mix"
-#: Sources up to this number (some hundred KB) are sent to all executors; more are joined by key.
-BROADCAST_SOURCES = 10_000
+#: Source names and targets up to this many bytes are sent to all executors; more are joined by key.
+BROADCAST_BYTES = 4 << 20
 
 
-def draw(doc_id: Column) -> Column:
-    """A number in [0, 1) from the id's MD5 digest (52 bits, exact as a double)."""
-    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":" + SEED)).cast("binary"))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+def draw(doc_id: Column, text: Column, place: Column) -> Column:
+    """A number in [0, 1) from an MD5 digest (52 bits, exact as a double)."""
+    parts = [F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary")), place.cast("string"), F.lit(SEED)]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def source_targets(sizes: DataFrame, share: float = SHARE, weights=WEIGHTS, most: float = MOST_REPEATS) -> DataFrame:
+def _numbered(sources: DataFrame, scratch: Scratch) -> DataFrame:
+    """Sources with ``nth``, their number by code point, null last: numbered in ranges, so that no task holds all."""
+    parts = sources.repartitionByRange(F.col("source").isNull(), F.col("source")).sortWithinPartitions(F.col("source").asc_nulls_last())
+    parts = scratch.table(parts.withColumn("id", F.monotonically_increasing_id()))
+    pieces = parts.groupBy(F.shiftright("id", 33).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    first = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each partition
+    pieces = pieces.select("part", F.coalesce(first, F.lit(0)).alias("first"))
+    nth = F.col("first") + F.col("id").bitwiseAND((1 << 33) - 1)
+    return parts.join(F.broadcast(pieces), F.shiftright("id", 33) == F.col("part")).select("source", "source_size", nth.alias("nth"))
+
+
+def source_targets(sizes: DataFrame, scratch: Scratch, share: float = SHARE, weights=WEIGHTS, most: float = MOST_REPEATS) -> DataFrame:
     """``source, source_size, target``: targets by weight, none above ``most`` times its size.
 
-    ``sizes`` has source and size. Weights repeat over the sources by code point, null last. With
-    sources ordered by how soon they reach their bound, those at their bound are a prefix; the
-    remainder is shared out among the others by weight. The windows run over sources, not documents.
+    ``sizes`` has source and size. Weights repeat over the sources by code point, null last. A source whose part
+    by weight is above its bound gets the bound and leaves the rest to the others, until none is above; each
+    round is one aggregate over the sources.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(x) for x in weights]), (F.row_number().over(by_name) - 1) % len(weights) + 1)
-    per = per.withColumn("w", w.cast("long")).withColumn("cap", F.col("source_size") * most)
-    soonest = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before = soonest.rowsBetween(Window.unboundedPreceding, -1)
-    everything = soonest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per = (
-        per.withColumn("total", F.sum("source_size").over(everything) * share)
-        .withColumn("cap_before", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("w_left", F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0)))
-    )
-    level = (F.col("total") - F.col("cap_before")) / F.col("w_left")
-    per = per.withColumn("capped", F.col("cap") <= level * F.col("w"))
-    first_free = F.first(F.when(~F.col("capped"), level), ignorenulls=True).over(everything)
-    target = F.when(F.col("capped"), F.col("cap")).otherwise(F.col("w") * first_free)
-    return per.select("source", "source_size", target.alias("target"))
-
-
-def mix(docs: DataFrame, size: Column, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """``docs`` with ``_size, _source_size, _target, _copies``.
-
-    Sizes of null texts are 0. A source of size 0 has target 0 and none of its documents is taken.
-    Repeated rows with one id are drawn alike; null ids are drawn as the empty string. Other columns
-    go through untouched.
+    per = _numbered(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), scratch)
+    w = F.element_at(F.array(*[F.lit(x) for x in weights]), (F.col("nth") % len(weights) + 1).cast("int")).cast("long")
+    per = scratch.table(per.select("source", "source_size", w.alias("w"), (F.col("source_size") * most).alias("cap")))
+    total = (per.agg(F.sum("source_size")).first()[0] or 0) * share
+    level, capped = 0.0, -1
+    while True:
+        above = F.col("cap") <= F.col("w") * level if capped >= 0 else F.lit(False)
+        row = per.agg(F.count_if(above).alias("n"), F.sum(F.when(above, F.col("cap"))).alias("used"), F.sum(F.when(~above, F.col("w"))).alias("free")).first()
+        if row["n"] == capped or not row["free"]:
+            break
+        capped, level = row["n"], (total - (row["used"] or 0.0)) / row["free"]
+    return per.select("source", "source_size", F.least("cap", F.col("w") * level).alias("target"))
+
+
+def mix(docs: DataFrame, size: Column, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """``row`` (the row of ``docs``, with columns of any name), ``size, source_size, target, copies``.
+
+    Sizes of null texts are 0. A source of size 0 has target 0 and none of its documents is taken; a null source
+    is a source. Rows with one id but other texts, null ids included, are drawn apart, and so are rows equal in
+    both, by their places. A table without rows gives none. Texts of any length count whole.
     """
-    scratch = Scratch(docs.sparkSession, "mix")
-    sized = docs.withColumn("_size", size)
-    targets = scratch.table(source_targets(sized.select(F.col(source).alias("source"), F.col("_size").alias("size"))))
-    right = targets.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    if targets.count() <= BROADCAST_SOURCES:
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "mix")
+    key = F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), size.alias("size"), F.col(source).alias("source"), key.alias("key"))
+    thin = scratch.table(sized.select("source", "size", "key"))
+    targets = scratch.table(source_targets(thin, scratch))
+    right = targets.select(F.col("source").alias("_s"), "source_size", "target")
+    if (targets.agg(F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + 32)).first()[0] or 0) <= BROADCAST_BYTES:
         right = F.broadcast(right)
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
+    repeated = Bitmap(thin.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key")
+    place = F.when(repeated.may_hold(F.col("key")), F.col("at")).otherwise(F.lit(0))
+    sized = sized.withColumn("at", F.monotonically_increasing_id()).withColumn("place", place)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate).cast("long")
-    copies = whole + (draw(F.col(doc_id)) < rate - whole).cast("long")
-    joined = sized.join(right, sized[source].eqNullSafe(F.col("_source")))
-    return joined.withColumn("_copies", copies).drop("_source")
+    copies = whole + (draw(F.col(f"row.`{doc_id}`"), F.col(f"row.`{text}`"), F.col("place")) < rate - whole).cast("long")
+    joined = sized.join(right, F.col("source").eqNullSafe(F.col("_s")))
+    return joined.select("row", "size", "source_size", "target", copies.alias("copies"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     out = mix(docs, word_count(F.col("text")))
-    return out.select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"),
-    )
+    return out.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    out = mix(docs, word_count(F.col("text")))
-    out = out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return out.select(*docs.columns)
+    """Each document as often as the mix takes it, under all its columns."""
+    out = mix(docs, word_count(F.col("text"))).where("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 ORACLE_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), w AS (
@@ -108,7 +117,7 @@ WITH d AS (
     ELSE w * (SELECT arg_min(level, k) FROM l WHERE cap > level * w) END AS target FROM l
 ), r AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-    ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || ':mix'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+    ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || ':' || md5(coalesce(d.text, '')) || ':0:mix'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
