@@ -3,25 +3,23 @@
 Rows are ordered by a digest of their text (then of their id), so equal texts stand together. Exact
 bytes and rows below candidate boundaries are counted across all partitions, and only the bins that
 still hold a wanted splitter are counted anew, finer, until every splitter meets the tolerance. Then
-rows are exchanged once, to their ranges. A shard is cut into several ranges when it is large, and the
-counts give each range's first slot, so numbering never needs a whole shard in one task.
+rows are exchanged once, by range of shard and key; a shard is spread over as many tasks as it needs, and
+the rows of each task's piece give the piece's first slot, so numbering never needs a whole shard in one task.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, pow2_at_least
+from .common import Scratch
 
 SHARDS = 16
 #: How far the bytes below a splitter may be from their share, as a part of a shard's bytes.
 TOLERANCE = 0.002
-#: Rows a range should hold; and bins that one round counts at most.
-RANGE_ROWS = 200_000
+#: Bins that one round counts at most (and 2 for each splitter still open, if that is more).
 ROUND_BINS = 1 << 16
+_PART_BITS = 33  # of monotonically_increasing_id, for a row's number in its partition
 _SIGN = -(1 << 63)
 
 
@@ -46,7 +44,7 @@ def _prefix(bits: int) -> tuple[Column, Column]:
     return first.alias("p1"), second.alias("p2")
 
 
-def find_splitters(keyed: DataFrame, parts: int, tolerance: float) -> list[tuple[int, int]]:
+def find_splitters(keyed: DataFrame, parts: int, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
     """For each of ``parts - 1`` boundaries: the 128-bit key it stands at, and the rows below it.
 
     ``keyed`` has _k1, _k2, _size. A boundary is moved within a group of equal texts only if the group
@@ -66,8 +64,8 @@ def find_splitters(keyed: DataFrame, parts: int, tolerance: float) -> list[tuple
             q1, q2 = _prefix(bits)
             pairs = [(p >> max(0, bits - 64) if bits > 64 else p, p & ((1 << (bits - 64)) - 1) if bits > 64 else 0) for p in wanted]
             signed = lambda v: v - (1 << 64) if v >= 1 << 63 else v
-            inside = F.struct(q1, q2).isin([F.struct(F.lit(signed(a)).cast("long").alias("p1"), F.lit(signed(b)).cast("long").alias("p2")) for a, b in pairs])
-            rows = rows.where(inside)
+            inside = keyed.sparkSession.createDataFrame([(signed(a), signed(b)) for a, b in pairs], "q1 long, q2 long")  # a row for each open splitter
+            rows = rows.join(F.broadcast(inside), (q1 == F.col("q1")) & (q2 == F.col("q2")), "left_semi")
         counted = rows.groupBy(p1, p2).agg(F.sum("_size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()
         extra = max(0, bits + more - 64)
         bins: dict[int, list[tuple[int, int, int]]] = {}
@@ -78,7 +76,7 @@ def find_splitters(keyed: DataFrame, parts: int, tolerance: float) -> list[tuple
             total = sum(b for _, b, _ in bins.get(0, []))
         next_wanted: dict[int, list[int]] = {}
         next_base: dict[int, tuple[int, int]] = {}
-        slack = tolerance * total / SHARDS
+        slack = tolerance * total / parts
         for parent, targets in wanted.items():
             below, n = base[parent]
             todo = iter(targets)
@@ -101,65 +99,45 @@ def find_splitters(keyed: DataFrame, parts: int, tolerance: float) -> list[tuple
                 target = next(todo, None)
         bits += more
         wanted, base = next_wanted, next_base
-        step = max(4, (ROUND_BINS // max(1, len(wanted))).bit_length() - 1)
+        step = max(1, (ROUND_BINS // max(1, len(wanted))).bit_length() - 1)
     return [found[k] for k in range(1, parts)]
 
 
-def shard_by_bytes(keyed: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, thin: DataFrame | None = None) -> DataFrame:
-    """``keyed`` (with _k1, _k2, _size) with ``shard`` and ``slot``.
+def shard_by_bytes(keyed: DataFrame, thin: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """``keyed`` (row, _k1, _k2) as ``row, shard, slot``; ``thin``: its _k1, _k2 and _size as a table.
 
-    ``thin``: the three columns as a table, where ``keyed`` is dear to compute twice. Shards' bytes are
-    near equal; slots are gapless from 0. Null texts count as empty; rows that are equal in id and text
-    stay together. With fewer distinct rows than shards some shards stay empty.
+    Shards' bytes are near equal; slots are gapless from 0, in order of the keys. Rows that are equal in id and text
+    stay together (their slots among themselves are any). With fewer distinct rows than shards some shards stay
+    empty; a table without rows gives none.
     """
-    thin = thin if thin is not None else keyed.select("_k1", "_k2", "_size")
-    n_rows = thin.count()
-    ranges = pow2_at_least(n_rows / shards / RANGE_ROWS)
-    splitters = find_splitters(thin, shards * ranges, tolerance)
-    edges = np.array([min(k, (1 << 128) - 1).to_bytes(16, "big") for k, _ in splitters], "V16")
-    starts = np.array([0, *[n for _, n in splitters]])
-    offsets = starts - np.repeat(starts[::ranges], ranges)
-    edge_keys = [(int.from_bytes(e.tobytes()[:8], "big"), int.from_bytes(e.tobytes()[8:], "big")) for e in edges]
-    highs = np.array([a for a, _ in edge_keys], np.uint64)
-    lows = np.array([b for _, b in edge_keys], np.uint64)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields) + ", _range int, _offset long"
-    flip = np.uint64(1 << 63)
-
-    def ranged(batches):
-        for batch in batches:
-            k1 = batch.column("_k1").to_numpy(zero_copy_only=False).view(np.uint64) ^ flip
-            k2 = batch.column("_k2").to_numpy(zero_copy_only=False).view(np.uint64) ^ flip
-            at = np.searchsorted(highs, k1, "left")
-            for _ in range(len(highs)):  # past equal first keys, by the second
-                on = np.minimum(at, len(highs) - 1)
-                behind = (at < len(highs)) & (highs[on] == k1) & (lows[on] <= k2)
-                if not behind.any():
-                    break
-                at = at + behind
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32)), pa.array(offsets[at])], [*batch.schema.names, "_range", "_offset"])
-
-    out = keyed.mapInArrow(ranged, schema)
-    window = Window.partitionBy("_range").orderBy("_k1", "_k2")
-    slot = F.row_number().over(window) - 1 + F.col("_offset")
-    return out.withColumn("shard", F.floor(F.col("_range") / ranges).cast("int")).withColumn("slot", slot.cast("long")).drop("_range", "_offset")
+    scratch = Scratch(keyed.sparkSession, "slots")
+    sign = lambda v: v - (1 << 63)  # noqa: E731  the keys' order as signed numbers
+    edges = [divmod(min(k, (1 << 128) - 1), 1 << 64) for k, _ in find_splitters(thin, shards, tolerance)]
+    spots = F.array(*[F.struct(F.lit(sign(a)).cast("long").alias("_k1"), F.lit(sign(b)).cast("long").alias("_k2")) for a, b in edges]) if edges else None
+    shard = F.size(F.filter(spots, lambda e: e <= F.struct("_k1", "_k2"))) if edges else F.lit(0)
+    keys = ["shard", "_k1", "_k2"]
+    ranged = keyed.withColumn("shard", shard).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ranged = scratch.table(ranged.select("row", "shard", F.monotonically_increasing_id().alias("at")))
+    pieces = ranged.groupBy("shard", F.shiftright("at", _PART_BITS).alias("part")).agg(F.min("at").alias("low"), F.count(F.lit(1)).alias("n"))
+    first = F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    pieces = pieces.select(F.col("shard").alias("s"), "part", (F.coalesce(first, F.lit(0)) - F.col("low")).alias("shift"))
+    same = (F.col("shard") == F.col("s")) & (F.shiftright("at", _PART_BITS) == F.col("part"))
+    return ranged.join(F.broadcast(pieces), same).select("row", "shard", (F.col("at") + F.col("shift")).alias("slot"))  # a row for each task and shard
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     k1, k2 = sort_keys(F.col("doc_id"), F.col("text"))
-    thin = docs.select("doc_id", text_bytes(F.col("text")).alias("_size"), text_crc(F.col("text")).alias("text_crc32"), k1.alias("_k1"), k2.alias("_k2"))
-    thin = Scratch(spark, "shards").table(thin)
-    out = shard_by_bytes(thin, thin=thin.select("_k1", "_k2", "_size"))
-    return out.select(
-        "doc_id", F.col("_size").alias("size"), "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"),
-    )
+    row = F.struct("doc_id", text_bytes(F.col("text")).alias("size"), text_crc(F.col("text")).alias("text_crc32"))
+    thin = Scratch(spark, "shards").table(docs.select(row.alias("row"), k1.alias("_k1"), k2.alias("_k2")))
+    out = shard_by_bytes(thin, thin.select("_k1", "_k2", F.col("row.size").alias("_size")))
+    return out.select("row.*", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their shard and slot."""
+    """The documents with their ``shard`` and ``slot`` (which replace columns of these names); null texts count as empty."""
     k1, k2 = sort_keys(F.col("doc_id"), F.col("text"))
-    names = docs.columns
-    keyed = docs.withColumns({"_size": text_bytes(F.col("text")), "_k1": k1, "_k2": k2})
+    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")])
+    keyed = docs.select(row.alias("row"), text_bytes(F.col("text")).alias("_size"), k1.alias("_k1"), k2.alias("_k2"))
     thin = Scratch(spark, "shards").table(keyed.select("_k1", "_k2", "_size"))
-    return shard_by_bytes(keyed, thin=thin).select(*names, "shard", "slot")
+    return shard_by_bytes(keyed.select("row", "_k1", "_k2"), thin).select("row.*", "shard", "slot").drop("_")
