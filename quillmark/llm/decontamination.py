@@ -9,18 +9,20 @@ found without errors only, where no word goes on at either end.
 
 from __future__ import annotations
 
+import uuid
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Errors allowed, as a share of an item's characters.
 MAX_ERROR = 0.06
 #: Items below this length say too little to be found with errors: they are found unchanged, as whole words.
 MIN_CHARS = 32
-#: Characters of items that one automaton holds, some hundred MB; more items take further passes.
-PASS_CHARS = 4_000_000
+#: Characters of items that one automaton holds (about 60 bytes each); more items take further passes over the texts.
+PASS_CHARS = 1_000_000
 _MATCH = "item_id long, distance int, item_chars int, start long, stop long"
 
 
@@ -28,8 +30,11 @@ def normalise(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
-def myers(pattern: str, text: str) -> tuple[int, int]:
-    """The least edit distance of ``pattern`` to any part of ``text``, and where the first such part ends."""
+def myers(pattern: str, text: str, anchored: bool = False) -> tuple[int, int]:
+    """The least edit distance of ``pattern`` to any part of ``text``, and where the first such part ends.
+
+    ``anchored``: to any part that begins where the text begins.
+    """
     m = len(pattern)
     at: dict[str, int] = {}
     for i, c in enumerate(pattern):
@@ -49,7 +54,7 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
             score -= 1
         if score < best:
             best, end = score, j + 1
-        ph = (ph << 1) & full
+        ph = (ph << 1 | anchored) & full
         mh = (mh << 1) & full
         up = mh | (full & ~(xv | ph))
         down = ph & xv
@@ -97,7 +102,7 @@ class ItemIndex:
                 if hi is not None and (s is None or s - k > hi):
                     distance, end = self._search(item, text[lo:hi])
                     if distance <= k and (best is None or distance < best[0]):
-                        best = (distance, max(0, lo + end - m), lo + end)
+                        best = (distance, lo + end - self._length(item, text[lo : lo + end], distance), lo + end)
                     hi = None
                 if s is not None:
                     if hi is None:
@@ -115,37 +120,56 @@ class ItemIndex:
 
         return not inner(start) and not inner(stop)
 
+    @staticmethod
+    def _length(item: str, window: str, distance: int) -> int:
+        """The length of the part at the window's end that is at this distance (of several the shortest)."""
+        return myers(item[::-1], window[::-1], anchored=True)[1] if distance else len(item)
+
     @staticmethod
     def _search(item: str, window: str) -> tuple[int, int]:
         at = window.find(item)
         return (0, at + len(item)) if at >= 0 else myers(item, window)
 
 
+_KEPT: dict = {}  # of a Python worker: its last automaton, by pass
+
+
+def _finder(shared, max_error: float) -> ItemIndex:
+    """The automaton of a pass; a worker builds it once and keeps one."""
+    name, items = shared.value
+    if (name, max_error) not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name, max_error] = ItemIndex(items, max_error)
+    return _KEPT[name, max_error]
+
+
 def _passes(benchmark: DataFrame, item_id: str, text: str) -> list:
-    """The items, normalised, in lists of bounded size; null and empty items are left out."""
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where("t is not null")
-    chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    n = int(chars // PASS_CHARS) + 1
-    for k in range(n):
-        part = items.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k) if n > 1 else items
-        rows = sorted({(r["i"], normalise(r["t"])) for r in part.collect()}, key=lambda r: (r[0] is None, r[0], r[1]))
-        yield [r for r in rows if r[1]]
+    """The items, normalised, as broadcasts of PASS_CHARS characters at most (a longer item alone).
+
+    Null and empty items are left out. A benchmark has to fit into one task as ids and lengths, each pass into the driver.
+    """
+    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where("t is not null").distinct()
+    before = F.sum(F.length("t")).over(Window.orderBy("i", "t").rowsBetween(Window.unboundedPreceding, 0))
+    items = items.withColumn("part", F.floor(before / PASS_CHARS).cast("long"))
+    spark = benchmark.sparkSession
+    for k in sorted(r["part"] for r in items.select("part").distinct().collect()):
+        rows = sorted({(r["i"], normalise(r["t"])) for r in items.where(F.col("part") == k).collect()}, key=lambda r: (r[0] is None, r[0], r[1]))
+        yield spark.sparkContext.broadcast((uuid.uuid4().hex, [r for r in rows if r[1]]))
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, max_error: float = MAX_ERROR, text: str = "text", item_id: str = "item_id") -> DataFrame:
     """One row per document and item that occurs in it: ``doc_id`` and where and how closely it does.
 
-    Null and empty texts and items hold nothing; items below MIN_CHARS are found unchanged only; equal items under several ids are all reported; repeated rows
-    are reported each. Positions count characters of the normalised text; ``start`` is ``stop`` less
-    the item's length. Without items or matches the result has no rows.
+    Null and empty texts and items hold nothing; texts and items of any length are searched whole; items below
+    MIN_CHARS are found unchanged only; equal items under several ids are all reported, and so are repeated rows.
+    Of several places the closest is given, then the first. Positions count characters of the normalised text.
+    Without items, texts or matches the result has no rows. Other columns of either table, of any name, are not read.
     """
-    shared = docs.sparkSession.sparkContext
-    out = None
-    for items in _passes(benchmark, item_id, "text"):
-        index = shared.broadcast(items)
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).limit(0).selectExpr("doc_id", *(f"cast(null as {f.split()[1]}) as {f.split()[0]}" for f in _MATCH.split(", ")))
+    for k, index in enumerate(_passes(benchmark, item_id, "text")):
 
         def run(batches, index=index):
-            finder = ItemIndex(index.value, max_error)
+            finder = _finder(index, max_error)
             for batch in batches:
                 rows = {k: [] for k in ("doc_id", "item_id", "distance", "item_chars", "start", "stop")}
                 for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
@@ -155,18 +179,17 @@ def find_items(docs: DataFrame, benchmark: DataFrame, max_error: float = MAX_ERR
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), types)], list(rows))
 
-        part = docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, "doc_id long, " + _MATCH)
-        out = part if out is None else out.union(part)
+        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, " + _MATCH)
+        out = part if not k else out.union(part)
     return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_error: float = MAX_ERROR, text: str = "text") -> DataFrame:
-    """``docs`` without the rows in whose text an item occurs."""
-    for items in _passes(benchmark, "item_id", "text"):
-        index = docs.sparkSession.sparkContext.broadcast(items)
+    """``docs``, under all its columns, without the rows in whose text an item occurs; null and empty texts stay."""
+    for index in _passes(benchmark, "item_id", "text"):
 
         def run(batches, index=index):
-            finder = ItemIndex(index.value, max_error)
+            finder = _finder(index, max_error)
             for batch in batches:
                 clean = np.array([not finder.find(raw.as_py()) for raw in batch.column(text)], bool)
                 yield batch.filter(pa.array(clean))
