@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..kernel.html import HtmlRenderer
 from ..kernel.sinks import UnifiedRenderer, to_json
-from ..kernel.tree import Points, TreeBuilder, select
+from ..kernel.tree import Points, TreeBuilder, add_text, select
 from ..options import Options
 
 _STRINGS = ("value", "url", "title", "alt", "lang", "meta", "identifier", "label", "reference_type")
@@ -26,19 +26,19 @@ _ARROW = pa.struct(
     [("node_id", pa.int32()), ("parent_id", pa.int32()), ("ordinal", pa.int32()), ("depth_in_tree", pa.int32()), ("subtree_end", pa.int32()), ("type", pa.string())]
     + [(name, pa.string()) for name in _STRINGS]
     + [("depth", pa.int32()), ("ordered", pa.bool_()), ("start", pa.int64()), ("spread", pa.bool_()), ("checked", pa.bool_()),
-       ("align", pa.list_(pa.string())), ("name", pa.string()), ("attributes", _PAIRS), ("directive_label", pa.bool_())]
+       ("align", pa.list_(pa.string())), ("name", pa.string()), ("attributes", _PAIRS), ("directive_label", pa.bool_()), ("text", pa.string()), ("cells", pa.list_(pa.string()))]
     + [(name, pa.int32()) for name in _PLACES]
 )
 _SPARK = {pa.int32(): T.IntegerType(), pa.int64(): T.LongType(), pa.string(): T.StringType(), pa.bool_(): T.BooleanType()}
 #: A node, as the struct that :func:`md_nodes_array` has an array of.
 NODE = T.StructType(
-    [T.StructField(f.name, _SPARK.get(f.type) or (T.ArrayType(T.StringType()) if f.name == "align" else T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])))) for f in _ARROW]
+    [T.StructField(f.name, _SPARK.get(f.type) or (T.ArrayType(T.StringType()) if f.name in ("align", "cells") else T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])))) for f in _ARROW]
 )
 
 
 @lru_cache(64)
-def _renderer(flags: int) -> HtmlRenderer:
-    return HtmlRenderer(Options.from_flags(flags))
+def _renderer(flags: int, emoji: tuple | None = None) -> HtmlRenderer:
+    return HtmlRenderer(Options.from_flags(flags), **({} if emoji is None else {"emoji": dict(emoji)}))
 
 
 @lru_cache(64)
@@ -73,7 +73,10 @@ def nodes_array(texts: list[str | None], options: Options, types: Collection[str
     rows, places, offsets = [], [], [0]
     for text in texts:
         if text is not None:
-            found = select(builder.build(text), types)
+            tree = builder.build(text)
+            if inline:
+                add_text(tree)
+            found = select(tree, types)
             rows += found
             if positions:
                 at = Points(text)
@@ -81,8 +84,8 @@ def nodes_array(texts: list[str | None], options: Options, types: Collection[str
         offsets.append(len(rows))
     if not positions:
         places = [None] * len(rows)
-    tree = {"node_id": "id", "parent_id": "parent", "ordinal": "ordinal", "depth_in_tree": "level", "subtree_end": "last", "type": "type"}
-    columns = [pa.array([getattr(r, tree[f.name]) for r in rows], f.type) if f.name in tree else _column(f.name, rows, places) for f in _ARROW]
+    place = {"node_id": "id", "parent_id": "parent", "ordinal": "ordinal", "depth_in_tree": "level", "subtree_end": "last", "type": "type"}
+    columns = [pa.array([getattr(r, place[f.name]) for r in rows], f.type) if f.name in place else _column(f.name, rows, places) for f in _ARROW]
     values = pa.StructArray.from_arrays(columns, fields=list(_ARROW))
     mask = pa.array([t is None for t in texts], pa.bool_())
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=mask)
@@ -91,7 +94,7 @@ def nodes_array(texts: list[str | None], options: Options, types: Collection[str
 def md_nodes_array(text: Column, options: Options = Options(), types: Collection[str] | None = None, inline: bool = True, positions: bool = False) -> Column:
     """A document's nodes in preorder (null: null).
 
-    ``types`` keeps nodes of these types, ``inline=False`` parses blocks alone, and without
+    Leaf blocks have their ``text``, table rows their ``cells`` (not with ``inline=False``). ``types`` keeps nodes of these types, ``inline=False`` parses blocks alone, and without
     ``positions`` the place columns are null: what a query does not need is not built.
     """
     kept = None if types is None else frozenset(types)
@@ -102,10 +105,10 @@ def md_nodes_array(text: Column, options: Options = Options(), types: Collection
     return F.arrow_udf(run, T.ArrayType(NODE))(text)
 
 
-def md_to_html(text: Column, options: Options = Options()) -> Column:
-    """HTML in the dialect of CommonMark's reference output (null: null)."""
-    flags = options.flags
-    return F.arrow_udf(_strings(lambda t: _renderer(flags).render(t)), T.StringType())(text)
+def md_to_html(text: Column, options: Options = Options(), emoji: dict[str, str] | None = None) -> Column:
+    """HTML in the dialect of CommonMark's reference output (null: null). ``emoji``: shortcodes instead of the built-in ones."""
+    flags, names = options.flags, None if emoji is None else tuple(sorted(emoji.items()))
+    return F.arrow_udf(_strings(lambda t: _renderer(flags, names).render(t)), T.StringType())(text)
 
 
 def md_to_unified_html(text: Column, options: Options = Options()) -> Column:

@@ -7,6 +7,7 @@ added as text. Leaves keep their lines with their places in the source, so that
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 from ..options import Options
 from .chars import label_key, unescape
@@ -45,6 +46,7 @@ _LABEL = re.compile(r"\[((?:\\.|[^\[\]\\])*)\]:?", re.S)
 _TITLE = re.compile(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|\((?:\\.|[^()\\])*\)", re.S)
 _ANGLE = re.compile(r"<((?:\\[^\n]|[^<>\n\\])*)>")
 _PLAIN = re.compile(r"(?:\\[!-/:-@\[-`{-~]|[^\\()\x00-\x20\x7f]|\\)+")
+_BLANKS = re.compile(" *")
 _GAP = re.compile(r"[ \t]*(?:\n[ \t]*)?")
 _FRONT = {"---": "yaml", "+++": "toml"}
 
@@ -120,12 +122,12 @@ def read_label(text: str, pos: int) -> re.Match | None:
     return m if m and len(m[1].encode("utf-8", "surrogatepass")) <= 999 else None
 
 
-def reference_definition(text: str) -> tuple[int, int, str, str, str | None] | None:
-    """A link reference definition at the text's start.
+def reference_definition(text: str, start: int = 0) -> tuple[int, int, str, str, str | None] | None:
+    """A link reference definition at ``start``.
 
     Where its line ends (with the newline), where the definition ends, its raw label, destination and title.
     """
-    lead = len(text) - len(text.lstrip(" "))
+    lead = _BLANKS.match(text, start).end()
     if text[lead : lead + 1] != "[":
         return None
     label = read_label(text, lead)
@@ -658,20 +660,22 @@ class BlockParser:
     def _peel(self, block: Block) -> None:
         """Take reference definitions off a paragraph's head; they become its elder siblings."""
         text, segments = join_lines(block.lines)
-        siblings = block.parent.kids
-        while text.lstrip(" ").startswith("["):
-            found = reference_definition(text)
-            if not found:
-                break
-            after, end, label, url, title = found
+        found, at = [], 0
+        while (definition := reference_definition(text, at)):
+            after, end, label, url, title = definition
             key = label_key(label)
-            start = _place(segments, len(text) - len(text.lstrip(" ")))
+            start = _place(segments, _BLANKS.match(text, at).end())
             node = Block("definition", block.parent, start, _place(segments, end - 1) + 1)
             node.open = False
             node.data.update(label=label, identifier=key, url=unescape(url), title=None if title is None else unescape(title))
-            siblings.insert(siblings.index(block), node)
+            found.append(node)
             self.references.setdefault(key, (node.data["url"], node.data["title"]))
-            text, segments = cut_front(text, segments, after)
+            at = after
+        if found:
+            siblings = block.parent.kids
+            k = len(siblings) - 1 - siblings[::-1].index(block)
+            siblings[k:k] = found
+            text, segments = cut_front(text, segments, at)
         block.text, block.segments = text, segments
         if segments:
             block.beg = segments[0][1]
@@ -761,9 +765,5 @@ class BlockParser:
 
 def _place(segments: list[tuple[int, int]], offset: int) -> int:
     """The source offset of a text offset."""
-    at, source = segments[0]
-    for a, s in segments:
-        if a > offset:
-            break
-        at, source = a, s
+    at, source = segments[max(0, bisect_right(segments, offset, key=lambda s: s[0]) - 1)]
     return source + offset - at

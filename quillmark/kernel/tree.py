@@ -15,8 +15,10 @@ from .inline import InlineParser, Node, plain_text
 #: The attributes a node may have; a node keeps only those of its type.
 ATTRIBUTES = (
     "value", "url", "title", "alt", "lang", "meta", "identifier", "label", "reference_type", "depth", "ordered",
-    "start", "spread", "checked", "align", "name", "attributes", "directive_label",
+    "start", "spread", "checked", "align", "name", "attributes", "directive_label", "text", "cells",
 )
+#: Blocks whose children are inlines.
+LEAVES = frozenset("paragraph heading tableCell defListTerm defListDescription leafDirective".split())
 BLOCK_TYPES = frozenset(
     "root paragraph heading blockquote list listItem thematicBreak code html yaml toml definition footnoteDefinition "
     "defList defListTerm defListDescription leafDirective containerDirective table tableRow tableCell".split()
@@ -214,6 +216,32 @@ def _source(segments: list[tuple[int, int]], offset: int) -> int:
     return source + offset - at
 
 
+def add_text(rows: list[Row]) -> None:
+    """Give each leaf the ``text`` in it (a break is a line end), and what holds a leaf what it shows of it.
+
+    A task item gets the text of its first paragraph; a table's row its ``cells``, padded or cut to the head's
+    width, and the table's ``align``. So relations need no join of a block with its inlines.
+    """
+    leaf, pieces = None, []
+    for row in [*rows, None]:
+        if leaf is not None and (row is None or row.id > leaf.last):
+            leaf.attrs["text"], leaf = "".join(pieces), None
+        if row is None:
+            break
+        if row.type in LEAVES:
+            leaf, pieces = row, []
+        elif leaf is not None and row.type in ("text", "inlineCode", "break"):
+            pieces.append(row.attrs.get("value", "\n"))
+    for row in rows:
+        up = rows[row.parent] if row.parent is not None else None
+        if row.type == "tableRow":
+            row.attrs.update(align=up.attrs["align"], cells=[""] * len(up.attrs["align"]))
+        elif row.type == "tableCell" and row.ordinal < len(up.attrs["cells"]):
+            up.attrs["cells"][row.ordinal] = row.attrs["text"]
+        elif row.type == "paragraph" and up.type == "listItem" and not row.ordinal and up.attrs["checked"] is not None:
+            up.attrs["text"] = row.attrs["text"]
+
+
 def select(rows: list[Row], types: Collection[str] | None) -> list[Row]:
     """The rows of the given types, numbered as in the whole tree."""
     return rows if types is None else [r for r in rows if r.type in types]

@@ -6,6 +6,7 @@ from .relational import (
     descendants,
     footnotes,
     heading_slugs,
+    inside,
     leaf_text,
     links,
     node_counts,
@@ -15,9 +16,10 @@ from .relational import (
     resolve_references,
     table_cells,
     tasks,
+    used_footnotes,
 )
 
 __all__ = [
-    "code_blocks", "definitions", "descendants", "footnotes", "heading_slugs", "leaf_text", "links", "node_counts", "nodes", "outline",
-    "render_html", "resolve_references", "table_cells", "tasks",
+    "code_blocks", "definitions", "descendants", "footnotes", "heading_slugs", "inside", "leaf_text", "links", "node_counts", "nodes", "outline",
+    "render_html", "resolve_references", "table_cells", "tasks", "used_footnotes",
 ]

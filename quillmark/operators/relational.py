@@ -1,7 +1,8 @@
-"""The node table and the relations on it: joins, windows and aggregates within documents.
+"""The node table and the relations on it.
 
-All of these shuffle on the document's key alone, so one exchange serves a chain of them; nothing is
-sorted globally, and only one document's nodes of one kind have to meet in a task.
+A relation parses each document once: leaf blocks carry their text and table rows their cells, so most relations
+are filters of the node table; the rest take one window or aggregation on the document's key, never a join of the
+table with itself. Nothing is sorted globally, and only one document's nodes of one kind have to meet in a task.
 """
 
 from __future__ import annotations
@@ -12,11 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import heading_slug, is_plain, md_nodes_array, md_to_html, plain_html
+from ..kernel.tree import LEAVES
 from ..options import Options
 
-#: Blocks whose children are inlines.
-LEAVES = ("paragraph", "heading", "tableCell", "defListTerm", "defListDescription", "leafDirective")
-
 
 def nodes(docs: DataFrame, key: str = "doc_id", text: str = "text", options: Options = Options(), types: Collection[str] | None = None, inline: bool = True, positions: bool = False) -> DataFrame:
     """``key`` and one row per node. A null text has no nodes, an empty one a root only."""
@@ -25,35 +24,20 @@ def nodes(docs: DataFrame, key: str = "doc_id", text: str = "text", options: Opt
 
 
 def render_html(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``html``: plain documents in generated code, the others by the kernel."""
-    source = docs.select(key, text)
-    plain = F.coalesce(is_plain(F.col(text)), F.lit(True))
-    native = source.where(plain).select(key, plain_html(F.col(text)).alias("html"))
-    return native.unionByName(source.where(~plain).select(key, md_to_html(F.col(text)).alias("html")))
+    """``key`` and ``html``: plain documents in generated code, the others by the kernel, in one scan."""
+    source = docs.select(F.col(key), F.col(text).alias("_t"), F.coalesce(is_plain(F.col(text)), F.lit(True)).alias("_plain"))
+    parsed = md_to_html(F.when(~F.col("_plain"), F.col("_t")))
+    return source.select(key, F.when(F.col("_plain"), plain_html(F.col("_t"))).otherwise(parsed).alias("html"))
 
 
 def leaf_text(tree: DataFrame, key: str = "doc_id", types: Collection[str] = LEAVES) -> DataFrame:
-    """``key, node_id, type, text``: the text in each leaf block (a break is a line end).
-
-    A leaf's inlines follow it in preorder, so a running window finds the leaf of each.
-    """
-    order = Window.partitionBy(key).orderBy("node_id")
-    shown = tree.where(F.col("type").isin(*LEAVES, "text", "inlineCode", "break"))
-    is_leaf = F.col("type").isin(*LEAVES)
-    leaf = F.last(F.when(is_leaf, F.struct("node_id", "subtree_end")), ignorenulls=True).over(order)
-    held = shown.withColumn("_l", leaf).where("node_id <= _l.subtree_end").withColumn("_leaf", F.col("_l.node_id"))
-    piece = F.when(is_leaf, F.lit("")).when(F.col("type") == "break", F.lit("\n")).otherwise(F.col("value"))
-    rows = held.groupBy(key, F.col("_leaf").alias("node_id")).agg(
-        F.max(F.when(is_leaf, F.col("type"))).alias("type"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("node_id").alias("at"), piece.alias("piece")))), lambda p: p["piece"]), "").alias("text"),
-    )
-    return rows.where(F.col("type").isin(*types))
+    """``key, node_id, type, text``: the text in each leaf block (a break is a line end)."""
+    return tree.where(F.col("type").isin(*types)).select(key, "node_id", "type", "text")
 
 
 def outline(tree: DataFrame, key: str = "doc_id") -> DataFrame:
     """``key, node_id, depth, text`` of headings."""
-    depths = tree.where("type = 'heading'").select(key, "node_id", "depth")
-    return leaf_text(tree, key, ("heading",)).drop("type").join(depths, [key, "node_id"])
+    return tree.where("type = 'heading'").select(key, "node_id", "depth", "text")
 
 
 def heading_slugs(tree: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -69,16 +53,25 @@ def definitions(tree: DataFrame, key: str = "doc_id") -> DataFrame:
     return tree.where("type = 'definition'").groupBy(key, "identifier").agg(first).select(key, "identifier", "_d.url", "_d.title")
 
 
+def _with_targets(tree: DataFrame, key: str, types: Collection[str]) -> DataFrame:
+    """Nodes of the types with ``_d``, the first definition (url, title) of their identifier in the document."""
+    rows = tree.where(F.col("type").isin("definition", *types))
+    within = Window.partitionBy(key, "identifier").orderBy("node_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    defined = F.first(F.when(F.col("type") == "definition", F.struct("url", "title")), ignorenulls=True).over(within)
+    return rows.withColumn("_d", defined).where("type <> 'definition'")
+
+
 def resolve_references(tree: DataFrame, key: str = "doc_id") -> DataFrame:
     """``key, node_id, type, identifier, url, title`` of reference links and images."""
-    refs = tree.where("type in ('linkReference', 'imageReference')").select(key, "node_id", "type", "identifier")
-    return refs.join(definitions(tree, key), [key, "identifier"], "left")
+    refs = _with_targets(tree, key, ("linkReference", "imageReference"))
+    return refs.select(key, "node_id", "type", "identifier", "_d.url", "_d.title")
 
 
 def links(tree: DataFrame, key: str = "doc_id") -> DataFrame:
     """``key, node_id, type, url, title`` of links and images, references resolved."""
-    direct = tree.where("type in ('link', 'image')").select(key, "node_id", "type", "url", "title")
-    return direct.unionByName(resolve_references(tree, key).drop("identifier"))
+    rows = _with_targets(tree, key, ("link", "image", "linkReference", "imageReference"))
+    direct = F.col("type").isin("link", "image")
+    return rows.select(key, "node_id", "type", *(F.when(direct, F.col(c)).otherwise(F.col(f"_d.{c}")).alias(c) for c in ("url", "title")))
 
 
 def footnotes(tree: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -86,14 +79,21 @@ def footnotes(tree: DataFrame, key: str = "doc_id") -> DataFrame:
 
     Numbers follow the first references outside of definitions.
     """
-    defs = tree.where("type = 'footnoteDefinition'").groupBy(key, "identifier").agg(F.min("node_id").alias("def_id"))
     spans = Window.partitionBy(key).orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
-    shown = tree.where("type in ('footnoteDefinition', 'footnoteReference')")
+    shown = tree.where("type in ('footnoteDefinition', 'footnoteReference')").select(key, "node_id", "type", "subtree_end", "identifier")
     covered = F.max(F.when(F.col("type") == "footnoteDefinition", F.col("subtree_end"))).over(spans)
-    refs = shown.withColumn("_inside", F.coalesce(covered >= F.col("node_id"), F.lit(False))).where("type = 'footnoteReference'")
-    used = refs.groupBy(key, "identifier").agg(F.count_if(~F.col("_inside")).alias("n_references"), F.min(F.when(~F.col("_inside"), F.col("node_id"))).alias("_first")).where("_first is not null")
-    number = F.row_number().over(Window.partitionBy(key).orderBy("_first"))
-    return defs.join(used.withColumn("number", number).drop("_first"), [key, "identifier"], "left").select(key, "identifier", "number", "n_references")
+    outside = (F.col("type") == "footnoteReference") & ~F.coalesce(F.col("_covered") >= F.col("node_id"), F.lit(False))
+    rows = shown.withColumn("_covered", covered).groupBy(key, "identifier").agg(
+        F.bool_or(F.col("type") == "footnoteDefinition").alias("_defined"), F.nullif(F.count_if(outside), F.lit(0)).alias("n_references"),
+        F.min(F.when(outside, F.col("node_id"))).alias("_first"),
+    ).where("_defined")
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.col("_first").asc_nulls_last()))
+    return rows.select(key, "identifier", F.when(F.col("_first").isNotNull(), nth).alias("number"), "n_references")
+
+
+def used_footnotes(tree: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key, identifier`` of the footnote definitions that a reference outside of definitions needs."""
+    return footnotes(tree, key).where("number is not null").select(key, "identifier")
 
 
 def table_cells(tree: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -101,21 +101,13 @@ def table_cells(tree: DataFrame, key: str = "doc_id") -> DataFrame:
 
     Rows are padded or cut to the head's width, as in HTML.
     """
-    text = leaf_text(tree, key, ("tableCell",)).select(key, F.col("node_id").alias("cell_id"), "text")
-    tables = tree.where("type = 'table'").select(key, F.col("node_id").alias("table_id"), "align")
-    rows = tree.where("type = 'tableRow'").select(key, F.col("parent_id").alias("table_id"), F.col("node_id").alias("row_id"), F.col("ordinal").alias("row"))
-    grid = rows.join(tables, [key, "table_id"]).select(key, "table_id", "row_id", "row", F.posexplode("align").alias("column", "align"))
-    cells = tree.where("type = 'tableCell'").select(key, F.col("parent_id").alias("row_id"), F.col("ordinal").alias("column"), F.col("node_id").alias("cell_id"))
-    filled = grid.join(cells.join(text, [key, "cell_id"]), [key, "row_id", "column"], "left")
-    return filled.select(key, "table_id", "row", "column", "align", F.coalesce("text", F.lit("")).alias("text"))
+    rows = tree.where("type = 'tableRow'").select(key, F.col("parent_id").alias("table_id"), F.col("ordinal").alias("row"), F.posexplode(F.arrays_zip("align", "cells")).alias("column", "_c"))
+    return rows.select(key, "table_id", "row", "column", "_c.align", F.col("_c.cells").alias("text"))
 
 
 def tasks(tree: DataFrame, key: str = "doc_id") -> DataFrame:
     """``key, node_id, checked, text`` of task items."""
-    items = tree.where("type = 'listItem' and checked is not null").select(key, "node_id", "checked")
-    first = tree.where("type = 'paragraph' and ordinal = 0").select(key, F.col("parent_id").alias("node_id"), F.col("node_id").alias("leaf"))
-    text = leaf_text(tree, key, ("paragraph",)).select(key, F.col("node_id").alias("leaf"), "text")
-    return items.join(first.join(text, [key, "leaf"]), [key, "node_id"]).select(key, "node_id", "checked", "text")
+    return tree.where("type = 'listItem' and checked is not null").select(key, "node_id", "checked", "text")
 
 
 def code_blocks(tree: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -128,5 +120,12 @@ def descendants(tree: DataFrame, ancestors: DataFrame, key: str = "doc_id") -> D
     return tree.join(above, key).where("node_id > ancestor_id and node_id <= _last").drop("_last")
 
 
+def inside(tree: DataFrame, kind: str, key: str = "doc_id") -> DataFrame:
+    """The nodes below any node of a type, by a running window: a node is inside while the last such subtree goes on."""
+    before = Window.partitionBy(key).orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.when(F.col("type") == kind, F.col("subtree_end"))).over(before)
+    return tree.withColumn("_last", last).where("node_id <= _last").drop("_last")
+
+
 def node_counts(tree: DataFrame, key: str = "doc_id") -> DataFrame:
     return tree.groupBy(key).agg(F.count(F.lit(1)).alias("n_nodes"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -37,9 +38,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where the files split into fewer tasks (one file with one row group is one task)."""
+    """Rows over all cores where there are fewer files than cores (a file with one row group is one task)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def _joined(order: str, piece: str, separator: str = r"\n") -> str:
@@ -266,7 +267,7 @@ def _decorated(name: str, open_mark: str, close_mark: str, source: str, column:
         tree = R.nodes(docs, key, options=options, types=[kind, "text", "inlineCode"])
         if kind == "inlineCode":
             return tree.where("type = 'inlineCode'").select(key, F.col("value").alias("text"))
-        held = R.descendants(tree, tree.where(F.col("type") == kind), key)
+        held = R.inside(tree, kind, key)
         return held.where("type = 'text'").select(key, F.col("value").alias("text"))
 
     QUERIES[name], ORACLE_SQL[name] = QUERIES.pop("build"), ORACLE_SQL.pop("build")
@@ -318,11 +319,9 @@ def md_footnotes(spark, sf_dir):
 @_query("select p_partkey, p_name as term, p_brand as description, p_partkey % 2 = 1 as spread from part")
 def md_deflist(spark, sf_dir):
     docs = _one(r"concat(p_name, if(p_partkey % 2 = 1, '\n', ''), '\n: ', p_brand)", "part", "p_partkey")(spark, sf_dir)
-    tree = R.nodes(docs, "p_partkey", options=FULL)
-    text = R.leaf_text(tree, "p_partkey", ("defListTerm", "defListDescription"))
-    spread_of = tree.where("type = 'defListDescription'").select("p_partkey", "node_id", "spread")
-    rows = text.join(spread_of, ["p_partkey", "node_id"], "left")
-    return rows.groupBy("p_partkey").agg(F.max(F.when(F.col("type") == "defListTerm", F.col("text"))).alias("term"), F.max(F.when(F.col("type") != "defListTerm", F.col("text"))).alias("description"), F.bool_or("spread").alias("spread"))
+    rows = R.nodes(docs, "p_partkey", options=FULL, types=["defListTerm", "defListDescription"])
+    term = F.col("type") == "defListTerm"
+    return rows.groupBy("p_partkey").agg(F.max(F.when(term, F.col("text"))).alias("term"), F.max(F.when(~term, F.col("text"))).alias("description"), F.bool_or(F.when(~term, F.col("spread"))).alias("spread"))
 
 
 @_query("select event_id, event_type as name, 'e' || event_id as id, 'a b' as class, user_id::varchar as user from events")
@@ -345,6 +344,107 @@ def md_diagram(spark, sf_dir):
     return docs.select("n_nationkey", M.md_to_html(F.col("text"), Options(diagram=True)).alias("html"))
 
 
+def _html(name: str, markdown: str, html: str, source: str, key: str, options: Options = Options(), unified: bool = False):
+    """HTML of a text written from a row; ``markdown`` is Spark's SQL for it, ``html`` DuckDB's for what must come out."""
+    @_query(f"select {key}, {html} as html from {source}")
+    def build(spark, sf_dir):
+        render = M.md_to_unified_html if unified else M.md_to_html
+        return _one(markdown, source, key)(spark, sf_dir).select(key, render(F.col("text"), options).alias("html"))
+
+    QUERIES[name], ORACLE_SQL[name] = QUERIES.pop("build"), ORACLE_SQL.pop("build")
+
+
+def _lines(*parts: str) -> str:
+    """DuckDB's SQL for lines; a part in braces is SQL, the rest is text."""
+    line = lambda p: " || ".join(x[1:-1] if x.startswith("{") else f"'{x}'" for x in re.split(r"(\{[^}]*\})", p) if x) or "''"
+    return " || ".join(f"{line(p)} || chr(10)" for p in parts)
+
+
+_html("md_footnote_html", r"concat('See[^n] and[^n] ', s_name, '\n\n[^n]: note ', s_suppkey)", _lines(
+    '<p>See<sup><a href="#user-content-fn-n" id="user-content-fnref-n" data-footnote-ref aria-describedby="footnote-label">1</a></sup> and<sup><a href="#user-content-fn-n" id="user-content-fnref-n-2" data-footnote-ref aria-describedby="footnote-label">1</a></sup> {s_name}</p>',
+    '<section data-footnotes class="footnotes"><h2 class="sr-only" id="footnote-label">Footnotes</h2>', "<ol>", '<li id="user-content-fn-n">',
+    '<p>note {s_suppkey} <a href="#user-content-fnref-n" data-footnote-backref="" aria-label="Back to reference 1" class="data-footnote-backref">↩</a> <a href="#user-content-fnref-n-2" data-footnote-backref="" aria-label="Back to reference 1-2" class="data-footnote-backref">↩<sup>2</sup></a></p>',
+    "</li>", "</ol>") + " || '</section>'", "supplier", "s_suppkey", FULL)
+_html("md_deflist_html", r"concat(p_name, '\n', p_brand, '\n: one\n: *two*\n')", _lines("<dl>", "<dt>{p_name}</dt>", "<dt>{p_brand}</dt>", "<dd>one", "</dd>", "<dd><em>two</em>", "</dd>", "</dl>"), "part", "p_partkey", FULL)
+_html("md_deflist_loose_html", r"concat(p_name, '\n\n: ', p_brand, '\n')", _lines("<dl>", "<dt>{p_name}</dt>", "<dd>", "<p>{p_brand}</p>", "</dd>", "</dl>"), "part", "p_partkey", FULL)
+_html("md_text_directive", r"concat('a :abbr[', p_name, ']', chr(123), '#i', p_partkey, ' .k', chr(125), ' b')", _lines('<p>a <abbr id="i{p_partkey}" class="k">{p_name}</abbr> b</p>'), "part", "p_partkey", FULL)
+_html("md_leaf_directive", r"concat('::video[', p_name, ']', chr(123), '.w src=', p_partkey, chr(125))", _lines('<video class="w" src="{p_partkey}">{p_name}</video>'), "part", "p_partkey", FULL)
+_html("md_task_html", r"concat('- [x] ', p_name, '\n- [ ] ', p_brand, '\n- ', p_type)", _lines(
+    "<ul>", '<li><input checked="" disabled="" type="checkbox"> {p_name}</li>', '<li><input disabled="" type="checkbox"> {p_brand}</li>', "<li>{p_type}</li>", "</ul>"), "part", "p_partkey", Options.gfm())
+_html("md_code_html", r"concat('```c++ x\n<', p_name, '> & \"', p_brand, '\"\n```')", _lines('<pre><code class="language-c++">&lt;{p_name}&gt; &amp; &quot;{p_brand}&quot;', "</code></pre>"), "part", "p_partkey")
+_html("md_href_escape", r"concat('[a](</p q/', p_partkey, '?x=\\&y=ä\"> ', chr(39), 'T \"', p_brand, '\" &amp; <', chr(39), ')')",
+      _lines('<p><a href="/p%20q/{p_partkey}?x=&amp;y=%C3%A4%22" title="T &quot;{p_brand}&quot; &amp; &lt;">a</a></p>'), "part", "p_partkey")
+_html("md_lazy_quote", r"concat('> ', p_name, '\n', p_brand, '\n\n', p_type)", _lines("<blockquote>", "<p>{p_name}", "{p_brand}</p>", "</blockquote>", "<p>{p_type}</p>"), "part", "p_partkey")
+_html("md_open_bracket_autolink", r"concat('[www.a.example/', p_partkey, ' b')", _lines("<p>[www.a.example/{p_partkey} b</p>"), "part", "p_partkey", Options.gfm())
+_html("md_silent_nodes", r"concat('---\nk: ', p_partkey, '\n---\n[r]: /u\n\n', p_name, '\n\n[^x]: never used')", _lines("<p>{p_name}</p>"), "part", "p_partkey", FULL)
+_html("md_tagfilter_html", r"concat('<title>', p_name, '</title> <b>x</b>')", _lines("&lt;title>{p_name}</title> <b>x</b>"), "part", "p_partkey", Options(tagfilter=True))
+_html("md_unescape", r"concat('[a](/u\\*', p_partkey, '&ouml; \"', p_brand, ' &copy; \\\"\")')", _lines('<p><a href="/u*{p_partkey}%C3%B6" title="{p_brand} © &quot;">a</a></p>'), "part", "p_partkey")
+_html("md_html_block_kinds", r"concat('<!-- ', p_name, '\n\n-->\n\n<?php ', p_partkey, '\n\n?>\n\n<!X\n\n>\n\n<script>\n\n</script>\n\n<x-y>\n*', p_brand, '*\n\n<b>t</b>')", _lines(
+    "<!-- {p_name}", "", "-->", "<?php {p_partkey}", "", "?>", "<!X", "", ">", "<script>", "", "</script>", "<x-y>", "*{p_brand}*", "<p><b>t</b></p>"), "part", "p_partkey")
+_html("md_nested_emphasis", r"concat('***', p_brand, '** a* **b*c** _d__e_ *f')", _lines("<p><em><strong>{p_brand}</strong> a</em> <strong>b*c</strong> <em>d__e</em> *f</p>"), "part", "p_partkey")
+_html("md_unified_escape", r"concat('a & b < ', p_name, ' \"q\"  \n `c\nd` <!-- -->')", "'<p>a &#x26; b &#x3C; ' || p_name || ' \"q\"<br>' || chr(10) || '<code>c d</code> </p>'", "part", "p_partkey", unified=True)
+_html("md_unified_links", r"concat('[t](/a%20b&c ', chr(39), 'x\"y', chr(39), ') ![*i*](/ü) [r]\n\n[r]: /first\n[r]: /second\n', p_partkey)", """'<p><a href="/a%20b&#x26;c" title="x&#x22;y">t</a> <img src="/%C3%BC" alt="i"> <a href="/first">r</a></p>' || chr(10) || '<p>' || p_partkey || '</p>'""", "part", "p_partkey", unified=True)
+_html("md_unified_lists", r"concat('3. ', p_name, '\n\n   more\n4. x\n\n- a\n  - ', p_brand, '\n\n```py\nx\n```')", """'<ol start="3">' || chr(10) || '<li>' || chr(10) || '<p>' || p_name || '</p>' || chr(10) || '<p>more</p>' || chr(10) || '</li>' || chr(10) || '<li>' || chr(10) || '<p>x</p>' || chr(10) || '</li>' || chr(10) || '</ol>' || chr(10)
+    || '<ul>' || chr(10) || '<li>a' || chr(10) || '<ul>' || chr(10) || '<li>' || p_brand || '</li>' || chr(10) || '</ul>' || chr(10) || '</li>' || chr(10) || '</ul>' || chr(10) || '<pre><code class="language-py">x' || chr(10) || '</code></pre>'""", "part", "p_partkey", unified=True)
+
+
+@_query("""select p_partkey, x.type as type, x.l1::int as start_line, x.c1::int as start_column, x.o1::int as start_offset, x.l2::int as end_line, x.c2::int as end_column, x.o2::int as end_offset from (
+    select p_partkey, unnest([
+      {'type': 'root', 'l1': 1, 'c1': 1, 'o1': 0, 'l2': 3, 'c2': n + 9, 'o2': n + 17},
+      {'type': 'heading', 'l1': 1, 'c1': 1, 'o1': 0, 'l2': 1, 'c2': 8, 'o2': 7},
+      {'type': 'text', 'l1': 1, 'c1': 3, 'o1': 2, 'l2': 1, 'c2': 6, 'o2': 5},
+      {'type': 'paragraph', 'l1': 3, 'c1': 1, 'o1': 9, 'l2': 3, 'c2': n + 9, 'o2': n + 17},
+      {'type': 'text', 'l1': 3, 'c1': 1, 'o1': 9, 'l2': 3, 'c2': 4, 'o2': 12},
+      {'type': 'emphasis', 'l1': 3, 'c1': 4, 'o1': 12, 'l2': 3, 'c2': n + 6, 'o2': n + 14},
+      {'type': 'text', 'l1': 3, 'c1': 5, 'o1': 13, 'l2': 3, 'c2': n + 5, 'o2': n + 13},
+      {'type': 'text', 'l1': 3, 'c1': n + 6, 'o1': n + 14, 'l2': 3, 'c2': n + 9, 'o2': n + 17}]) as x from (select p_partkey, length(p_name) as n from part))""")
+def md_points(spark, sf_dir):
+    """Lines, columns and offsets of all nodes, in UTF-16 units (the emoji are two); blanks after a heading's text belong to the heading alone."""
+    docs = _one(r"concat('# 😀x  \n\n😀 *', p_name, '* 😀')", "part", "p_partkey")(spark, sf_dir)
+    return R.nodes(docs, "p_partkey", positions=True).select("p_partkey", "type", "start_line", "start_column", "start_offset", "end_line", "end_column", "end_offset")
+
+
+@_query("select p_partkey, 'yaml' as type, 'k: ' || p_name as value from part union all select p_partkey, 'heading', null from part union all select p_partkey, 'text', p_brand from part union all select p_partkey, 'root', null from part")
+def md_frontmatter_nodes(spark, sf_dir):
+    docs = _one(r"concat('---\nk: ', p_name, '\n---\n# ', p_brand)", "part", "p_partkey")(spark, sf_dir)
+    return R.nodes(docs, "p_partkey", options=FULL).select("p_partkey", "type", "value")
+
+
+@_query("""select o_custkey, o_orderpriority[1:1] as identifier from orders group by all""")
+def md_used_footnotes(spark, sf_dir):
+    tree = R.nodes(_notes(spark, sf_dir), "o_custkey", options=FULL, types=["footnoteDefinition", "footnoteReference"])
+    return R.used_footnotes(tree, "o_custkey")
+
+
+@_query("""select p_partkey, s.r::int as "row", s.c::int as "column", s.x as text from (select p_partkey, unnest([
+    {'r': 0, 'c': 0, 'x': 'a'}, {'r': 0, 'c': 1, 'x': p_brand}, {'r': 1, 'c': 0, 'x': p_name}, {'r': 1, 'c': 1, 'x': ''}, {'r': 2, 'c': 0, 'x': '1'}, {'r': 2, 'c': 1, 'x': 'b|c'}]) as s from part)""")
+def md_ragged_table(spark, sf_dir):
+    """A short row is padded, a long one is cut."""
+    docs = _one(r"concat('| a | ', p_brand, ' |\n|-|-|\n| ', p_name, '\n| 1 | b\\|c | 3 |')", "part", "p_partkey")(spark, sf_dir)
+    tree = R.nodes(docs, "p_partkey", options=Options.gfm(), types=["tableRow"])
+    return R.table_cells(tree, "p_partkey").select("p_partkey", "row", "column", "text")
+
+
+@_query("""select p_partkey, '/direct' as url from part union all select p_partkey, '/first' from part union all select p_partkey, '/i.png' from part""")
+def md_all_links(spark, sf_dir):
+    docs = _one(r"concat('[a](/direct) [r] ![i](/i.png) [none]\n\n[r]: /first\n[r]: /second\n\n', p_name)", "part", "p_partkey")(spark, sf_dir)
+    tree = R.nodes(docs, "p_partkey", types=["link", "image", "linkReference", "imageReference", "definition"])
+    return R.links(tree, "p_partkey").select("p_partkey", "url")
+
+
+@_query("""select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._+-]+@[A-Za-z0-9_-]+(?:\\.[A-Za-z0-9_-]+)+')) as address from documents""")
+def md_mail_candidates(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(M.mail_candidates(F.col("text"))).alias("address"))
+
+
+@_query("""select p_partkey, lower(p_brand) as label, 'c++' as lang, 'a b' as meta, 'x' || chr(10) || 'y' as trimmed, '&#x26;&#x3C;"' as shown, '&#x26;<&#x22;' as attribute from part""")
+def md_native_helpers(spark, sf_dir):
+    docs = table(spark, sf_dir, "part")
+    info, mark = F.lit("  c++ \ta b"), F.lit('&<"')
+    return docs.select("p_partkey", M.label_key(F.concat(F.lit(" \n"), F.col("p_brand"), F.lit("\t "))).alias("label"), M.code_language(info).alias("lang"), M.code_meta(info).alias("meta"),
+                       M.trim_lines(F.lit("x \t\n  y")).alias("trimmed"), M.escape_unified_text(mark).alias("shown"), M.escape_unified_attribute(mark).alias("attribute"))
+
+
 # Sinks and whole documents.
 
 _part_page = _one(r"concat('# ', p_name, '\n\n*', p_brand, '* of **size ', p_size, '**\n\n1. ', p_type, '\n2. <b>x</b>\n')", "part", "p_partkey")

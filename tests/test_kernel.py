@@ -120,3 +120,12 @@ def test_deep_nesting_and_long_runs_end():
     for text in ("> " * 3000 + "x", "[" * 5000, "*a " * 5000, "`" * 3 + "a`" * 3000, "- " * 500 + "x"):
         HtmlRenderer().render(text)
         TreeBuilder().build(text)
+
+
+def test_definitions_are_linear():
+    import time
+
+    text = "".join(f"[r{k}]: /u{k} 'title {k}'\n" for k in range(20_000)) + "\n[r7] [R19999]"
+    began = time.perf_counter()
+    assert HtmlRenderer().render(text) == '<p><a href="/u7" title="title 7">r7</a> <a href="/u19999" title="title 19999">R19999</a></p>\n'
+    assert time.perf_counter() - began < 10

@@ -2,6 +2,7 @@
 
 import math
 import time
+from collections import Counter
 from pathlib import Path
 
 import duckdb
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 from quillmark import functions as M
 from quillmark import operators as R
 from quillmark import plans
+from quillmark.kernel.html import HtmlRenderer
+from quillmark.kernel.tree import TreeBuilder
 from quillmark.options import Options
-from quillmark.sources import read_markdown
-from quillmark.streaming import read_documents, stream_nodes
+from quillmark.sources import read_markdown, write_json
+from quillmark.streaming import read_documents, stream_nodes, windowed_counts
 
 
 @pytest.fixture(scope="module")
@@ -56,6 +59,50 @@ def test_filters_reach_the_scan(spark):
     assert "EqualTo(doc_id,5)" in plan and "n_chars" not in plan and plan.count("ArrowEvalPython") == 1
 
 
+RELATIONS = [n for n in plans.QUERIES if n not in ("md_language_summary", "md_escape", "md_tagfilter", "md_line_table", "md_frontmatter", "md_external_links", "md_mail_candidates", "md_native_helpers")]
+
+
+@pytest.mark.parametrize("name", RELATIONS)
+def test_each_relation_parses_once(spark, name):
+    plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_node_types_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    builder = TreeBuilder(Options.full())
+    wanted = Counter()
+    for d in docs:
+        for row in builder.build(d.text):
+            wanted.update([(d.lang, row.type), (d.lang, None), (None, None)])
+    assert {(r.language, r.type): r.n_nodes for r in plans.QUERIES["md_node_types"](spark, SF).collect()} == wanted
+
+
+def test_renderings_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    render = HtmlRenderer().render
+    assert {r.doc_id: r.html for r in plans.QUERIES["md_render_documents"](spark, SF).collect()} == {d.doc_id: render(d.text) for d in docs}
+
+
+def test_descendants_and_inside(spark):
+    tree = R.nodes(spark.createDataFrame([(1, "> *a* b\n\n*c*"), (2, "x")], "doc_id long, text string"))
+    below = R.descendants(tree, tree.where("type = 'blockquote'"))
+    assert sorted(r.value for r in below.where("type = 'text'").collect()) == [" b", "a"]
+    assert sorted(r.value for r in R.inside(tree, "emphasis").where("type = 'text'").collect()) == ["a", "c"]
+
+
+def test_emoji_of_the_caller(spark):
+    html = spark.range(1).select(M.md_to_html(F.lit(":mine: :rocket:"), Options(emoji=True), {"mine": "M"}).alias("html")).first().html
+    assert html == "<p>M :rocket:</p>\n"
+
+
+def test_windowed_counts_and_json(spark, tmp_path):
+    docs = spark.sql("select timestamp'2024-01-01 00:10:00' as ts, '# a' as text union all select timestamp'2024-01-01 01:10:00', 'b'")
+    assert {(r.type, r.n_nodes) for r in windowed_counts(docs, "ts").groupBy("type").agg(F.sum("n_nodes").alias("n_nodes")).collect()} == {("root", 2), ("heading", 1), ("paragraph", 1), ("text", 2)}
+    write_json(docs.select(M.md_to_json(F.col("text")).alias("json")), str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).where("type = 'root'").count() == 2
+
+
 def test_positions_change_nothing_else(spark):
     docs = spark.createDataFrame([(1, "# a\n\n- b *c*\n")], "doc_id long, text string")
     places = [f.name for f in M.NODE if f.name.startswith(("start_", "end_"))]
