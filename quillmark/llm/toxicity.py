@@ -2,7 +2,7 @@
 
 Features are the distinct words, word pairs and pairs with one or two words between them of a
 whole text (lower case), hashed to 2^20 coordinates. Training is one pass per epoch over a bounded
-sample of labelled rows; each coordinate has its own learning rate, and L1 leaves few weights, which
+sample of labelled rows, which come to it as coordinates, not as texts; each coordinate has its own learning rate, and L1 leaves few weights, which
 are broadcast (2^20 pairs at most, some MB) and looked up for every text.
 """
 
@@ -12,13 +12,15 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, new_vocab, word_hashes
+from .common import Scratch, arrow_rows, mix64, new_vocab, word_hashes
 
 #: The bound of the training sample: labelled rows with the smallest hash of their id.
 TRAIN_ROWS = 12_288
+#: And of its size: coordinates of all its rows together (rows beyond it, in the order of their hashes, are left out).
+TRAIN_COORDINATES = 30_000_000
 EPOCHS = 5
 BITS = 20
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.0
@@ -73,13 +75,18 @@ def _ftrl(examples: list[np.ndarray], labels: list[int], epochs: int) -> tuple[n
     return kept, w[kept]
 
 
+def _featured(batches):
+    """The distinct coordinates of each text, the bias among them."""
+    for batch in batches:
+        found = [np.union1d(_coordinates([t.as_py()])[0], [_BIAS]).astype(np.int32) for t in batch.column("text")]
+        arrays = [batch.column(c) for c in ("doc_id", "toxic", "rank")]
+        yield pa.RecordBatch.from_arrays([*arrays, pa.array([len(f) for f in found], pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "toxic", "rank", "size", "at"])
+
+
 def _train(epochs: int):
     def fit(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("rank", "ascending"), ("doc_id", "ascending")])
-        examples = []
-        for text in rows.column("text"):
-            coords, _, _ = _coordinates([text.as_py()])
-            examples.append(np.union1d(coords, [_BIAS]))
+        examples = [at.values.to_numpy() for at in rows.column("at")]
         kept, w = _ftrl(examples, rows.column("toxic").to_pylist(), epochs)
         schema = pa.schema([("coordinates", pa.list_(pa.int32())), ("weights", pa.list_(pa.float64()))])
         return pa.Table.from_pydict({"coordinates": [kept.astype(np.int32)], "weights": [w]}, schema=schema)
@@ -90,22 +97,30 @@ def _train(epochs: int):
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> tuple[list[int], list[float]]:
     """Weights from at most ``train_rows`` of ``labels`` (doc_id, toxic); empty without any.
 
-    Rows with a null id or label are no examples; of several labels of an id the largest holds.
+    Rows with a null id or label are no examples; of several labels of an id the largest holds, of several texts
+    the least (a null text is empty). Other columns of either table, of any name, are not read.
     """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "toxicity")
     chosen = (
         labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
         .withColumn("rank", F.xxhash64("doc_id")).orderBy("rank", "doc_id").limit(train_rows)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # train_rows short rows
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"), F.first("rank").alias("rank"))
-    fitted = rows.withColumn("part", F.lit(1)).groupBy("part").applyInArrow(_train(epochs), _WEIGHTS).collect()
+    with arrow_rows(spark):
+        rows = scratch.table(rows.select(F.col("doc_id").cast("long"), "toxic", "rank", "text").mapInArrow(_featured, "doc_id long, toxic int, rank long, size long, at array<int>"))
+    before = F.sum("size").over(Window.orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # over train_rows sizes
+    fitting = rows.select("doc_id", "rank", "size").withColumn("sum", before).where(F.col("sum") <= TRAIN_COORDINATES).select("doc_id")
+    fitted = rows.join(fitting, "doc_id", "left_semi").withColumn("part", F.lit(1)).groupBy("part").applyInArrow(_train(epochs), _WEIGHTS).collect()
     return (fitted[0]["coordinates"], fitted[0]["weights"]) if fitted else ([], [])
 
 
 def score(docs: DataFrame, coordinates: list[int], weights: list[float], extra: list[str] = ()) -> DataFrame:
     """``doc_id``, the ``extra`` columns and ``score`` of every row; 0 throughout without weights.
 
-    Null and empty texts have the bias alone. Repeated rows get the same score.
+    Null and empty texts have the bias alone; texts of any length are scored whole. Repeated rows get the same
+    score; a table without rows gives none. Columns that aren't named in ``extra`` are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast((np.array(coordinates, np.int64), np.array(weights, np.float32)))
     kept = docs.select("doc_id", *extra, "text")
