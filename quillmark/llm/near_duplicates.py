@@ -63,8 +63,9 @@ def expected_recall(depth: int, threshold: float, agreed: dict[int, int]) -> flo
 
 
 def fingerprint() -> tuple:
-    """Two native 64-bit digests of a text (null: empty), which stand for it."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    """Two native 64-bit digests of a text, which stand for it (without a word: those of the empty text)."""
+    blank = F.coalesce(F.btrim("text", F.lit(" \t\n\r\x0b\x0c")), F.lit("")) == ""
+    text = F.when(blank, F.lit("")).otherwise(F.col("text"))
     return F.xxhash64(F.lit("1"), text).alias("f1"), F.xxhash64(F.lit("2"), text).alias("f2")
 
 
@@ -245,8 +246,8 @@ def near_duplicates(docs: DataFrame, threshold=SIMILARITY, text: str = "text", d
 
     ``class_id`` is the least id of all rows that hang together by links (null if they all have null),
     ``n_links`` the number of other rows with a similarity of at least the threshold, copies included.
-    Equal texts are copies, at any length; texts without a word (null, empty) have no shingles and are
-    linked to each other only. Repeated rows are copies. ``stays`` marks the rows with the id and the text
+    Equal texts are copies, at any length; texts without a word (null, empty, blank) have no shingles and are
+    copies of each other. Repeated rows are copies. ``stays`` marks the rows with the id and the text
     that stand for a class: the least id (null last), of its texts the one with the least digests; so it
     doesn't depend on how rows lie in files. ``f1, f2`` stand for the text. A table without rows gives
     none. Other columns of ``docs``, of any name, are not read.
