@@ -88,7 +88,8 @@ def url_verdicts(urls: DataFrame, rules=RULES, default: str = DEFAULT, url: str
     A rule fits its host and all subdomains if the path starts with the rule's path; of several the
     longest string wins, then the one with the longer host. The index is built on the driver from
     the rule list, written to the shared folder and mapped from each executor's copy. Null urls have
-    an empty host and path and get the default. Repeated rows get the same verdict.
+    an empty host and path and get the default. Repeated rows get the same verdict; urls of any length are read
+    whole; a table without rows gives none. Columns of ``urls`` named like the four are replaced, all others stay.
     """
     spark = urls.sparkSession
     name = f"rules-{uuid.uuid4().hex}.bin"
