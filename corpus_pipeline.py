@@ -1,7 +1,9 @@
 """The corpus pipeline: quality rules, near duplicates, decontamination, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last
-return the columns of ``documents``.
+return the columns of ``documents``. Null, empty and blank texts go in the first stage (too short); repeated rows
+and copies in the second; texts of any length are read whole; an empty table goes through as one; columns beside
+those of ``documents`` pass through all stages, but for ``shard`` and ``slot``, which the last one replaces.
 """
 
 from __future__ import annotations
