@@ -86,7 +86,7 @@ def find_splitters(keyed: DataFrame, parts: int, tolerance: float = TOLERANCE) -
                 while target is not None and total * target / parts <= below + size:
                     aim = total * target / parts
                     lower, upper = aim - below, below + size - aim
-                    if min(lower, upper) <= slack or last:
+                    if min(lower, upper) <= slack or last or count == 1:  # a single row is not parted
                         edge = prefix if lower <= upper else prefix + 1
                         found[target] = (edge << (128 - bits - more), n if lower <= upper else n + count)
                     else:
