@@ -14,6 +14,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..kernel.chars import decode_references
 from ..kernel.html import HtmlRenderer
 from ..kernel.sinks import UnifiedRenderer, to_json
 from ..kernel.tree import Points, TreeBuilder, add_text, select
@@ -123,8 +124,30 @@ def md_to_json(text: Column, options: Options = Options(), positions: bool = Fal
     return F.arrow_udf(_strings(lambda t: to_json(_builder(flags, True).build(t), t if positions else None)), T.StringType())(text)
 
 
+def decoded(text: Column) -> Column:
+    """Character references resolved, unknown ones and those without a semicolon as they are (null: null)."""
+    return F.arrow_udf(_strings(decode_references), T.StringType())(text)
+
+
+def blocks_function(options: Options = Options()):
+    """A table function: one row for each block of a text (null: none), with its lines."""
+    flags = options.flags
+
+    class Blocks:
+        def eval(self, text: str):
+            if text is None:
+                return
+            at = Points(text)
+            for r in _builder(flags, False).build(text):
+                lines = (None, None) if r.span is None else (at(r.span[0])[0], at(r.span[1])[0])
+                yield (r.id, r.parent, r.type, r.attrs.get("depth"), r.attrs.get("value"), *lines)
+
+    kind = "node_id int, parent_id int, type string, depth int, value string, start_line int, end_line int"
+    return F.udtf(Blocks, returnType=kind, useArrow=True)
+
+
 def register(spark: SparkSession, options: Options = Options(), prefix: str = "md_") -> None:
-    """SQL functions ``md_to_html``, ``md_to_unified_html``, ``md_to_json`` and ``md_nodes`` under the given options."""
+    """SQL functions ``md_to_html``, ``md_to_unified_html``, ``md_to_json``, ``md_nodes`` and, for ``lateral``, ``md_blocks``."""
     flags = options.flags
     convert = {
         "to_html": lambda t: _renderer(flags).render(t),
@@ -138,3 +161,4 @@ def register(spark: SparkSession, options: Options = Options(), prefix: str = "m
         return nodes_array(texts.to_pylist(), options, None, True, False)
 
     spark.udf.register(prefix + "nodes", F.arrow_udf(nodes, T.ArrayType(NODE)))
+    spark.udtf.register(prefix + "blocks", blocks_function(options))

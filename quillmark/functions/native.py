@@ -49,6 +49,11 @@ def lines(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).when(F.endswith(text, F.lit("\n")), F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
+def normalize_newlines(text: Column) -> Column:
+    """``\\r\\n`` and ``\\r`` as ``\\n``. The kernel takes texts as they are; this goes before it where files mix line ends."""
+    return F.regexp_replace(text, r"\r\n?", "\n")
+
+
 def frontmatter(text: Column) -> Column:
     """Struct (format, value, body): the block at the very start, raw, and what follows it (no block: null, null, text)."""
     yaml, toml = F.regexp_like(text, F.lit(_YAML)), F.regexp_like(text, F.lit(_TOML))

@@ -196,24 +196,27 @@ class BlockParser:
     # The cursor: index, column, and columns left of a tab that is partly used.
 
     def _load(self, line: str, base: int) -> None:
-        self.line, self.base, self.at, self.column, self.tab = line, base, 0, 0, 0
+        self.line, self.base, self.at, self.column, self.tab, self.next = line, base, 0, 0, 0, -1
         self.last_matched: Block | None = None
 
     def _look(self) -> None:
-        """Find the next character that is no blank."""
-        line, at, column = self.line, self.at, self.column + self.tab
+        """Find the next character that is no blank (it stays the next one while the cursor is not beyond it)."""
+        line = self.line
         n = len(line)
-        while at < n:
-            char = line[at]
-            if char == " ":
-                column += 1
-            elif char == "\t":
-                column += 4 - column % 4
-            else:
-                break
-            at += 1
-        self.next, self.next_column, self.blank = at, column, at >= n
-        self.indent = column - self.column
+        if self.at > self.next:
+            at, column = self.at, self.column + self.tab
+            while at < n:
+                char = line[at]
+                if char == " ":
+                    column += 1
+                elif char == "\t":
+                    column += 4 - column % 4
+                else:
+                    break
+                at += 1
+            self.next, self.next_column = at, column
+        self.blank = self.next >= n
+        self.indent = self.next_column - self.column
 
     def _skip(self) -> None:
         self.at, self.column, self.tab = self.next, self.next_column, 0

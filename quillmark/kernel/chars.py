@@ -35,6 +35,11 @@ def reference(match: re.Match) -> str:
     return _NAMED.get(name, match[0])
 
 
+def decode_references(text: str) -> str:
+    """All references of a text resolved."""
+    return REFERENCE.sub(reference, text) if "&" in text else text
+
+
 def _unescaped(match: re.Match) -> str:
     if match[1]:
         return match[1]

@@ -437,6 +437,45 @@ def md_mail_candidates(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(M.mail_candidates(F.col("text"))).alias("address"))
 
 
+@_query("""select doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._+-]+@[A-Za-z0-9_-]+(?:\\.[A-Za-z0-9_-]+)+')) as address from documents""")
+def md_email_autolink(spark, sf_dir):
+    """Mail links of all documents; only those with a candidate are parsed."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where(F.size(M.mail_candidates(F.col("text"))) > 0)
+    found = R.nodes(docs, options=Options.gfm(), types=["link"]).where(F.startswith("url", F.lit("mailto:")))
+    return found.select("doc_id", F.substring("url", len("mailto:") + 1, 1 << 30).alias("address"))
+
+
+@_query("""select page_id, replace(replace(replace(replace(html, '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&') as text from pages""")
+def md_page_references(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", M.decoded(F.col("html")).alias("text"))
+
+
+@_query("""select page_id, string_split(html, chr(10))[1] as value from pages where starts_with(html, '<!DOCTYPE')""")
+def md_page_html_blocks(spark, sf_dir):
+    """The declaration that a page begins with, as a block (it ends with the line)."""
+    tree = R.nodes(table(spark, sf_dir, "pages"), "page_id", "html", types=["html"], inline=False)
+    return tree.where("depth_in_tree = 1 and ordinal = 0 and startswith(value, '<!')").select("page_id", "value")
+
+
+@_query("""select p_partkey, x.type as type, x.line::int as start_line, x.value as value from (select p_partkey, unnest([
+    {'type': 'root', 'line': 1, 'value': null}, {'type': 'heading', 'line': 1, 'value': null}, {'type': 'list', 'line': 3, 'value': null}, {'type': 'listItem', 'line': 3, 'value': null},
+    {'type': 'paragraph', 'line': 3, 'value': null}, {'type': 'code', 'line': 5, 'value': p_type}]) as x from part)""")
+def md_table_function(spark, sf_dir):
+    """Blocks by the table function, in a lateral join."""
+    spark.udtf.register("md_blocks", M.blocks_function())
+    text = r"concat('# ', p_name, '\n\n- ', p_brand, '\n\n```\n', p_type, '\n```')"
+    docs = _one(text, "part", "p_partkey")(spark, sf_dir)
+    return spark.sql("select p_partkey, type, start_line, value from {docs}, lateral md_blocks(text)", docs=docs)
+
+
+_CRLF = _one(r"concat('# ', p_name, '\r\n', p_brand, '\r\r\n', p_type)", "part", "p_partkey")
+
+
+@_query("""select p_partkey, '<h1>' || p_name || '</h1>' || chr(10) || '<p>' || p_brand || '</p>' || chr(10) || '<p>' || p_type || '</p>' || chr(10) as html from part""")
+def md_normalized_lines(spark, sf_dir):
+    return _CRLF(spark, sf_dir).select("p_partkey", M.md_to_html(M.normalize_newlines(F.col("text"))).alias("html"))
+
+
 @_query("""select p_partkey, lower(p_brand) as label, 'c++' as lang, 'a b' as meta, 'x' || chr(10) || 'y' as trimmed, '&#x26;&#x3C;"' as shown, '&#x26;<&#x22;' as attribute from part""")
 def md_native_helpers(spark, sf_dir):
     docs = table(spark, sf_dir, "part")

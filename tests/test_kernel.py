@@ -2,6 +2,7 @@
 
 import json
 import re
+import time
 from pathlib import Path
 
 import pytest
@@ -129,3 +130,11 @@ def test_definitions_are_linear():
     began = time.perf_counter()
     assert HtmlRenderer().render(text) == '<p><a href="/u7" title="title 7">r7</a> <a href="/u19999" title="title 19999">R19999</a></p>\n'
     assert time.perf_counter() - began < 10
+
+
+def test_deep_lists_are_not_cubic():
+    """Each line looks at its indentation once, not once for each open list."""
+    text = "".join("  " * k + "- a\n" for k in range(400))
+    began = time.perf_counter()
+    html = HtmlRenderer().render(text)
+    assert html.count("<li>") == 400 and time.perf_counter() - began < 2

@@ -59,7 +59,7 @@ def test_filters_reach_the_scan(spark):
     assert "EqualTo(doc_id,5)" in plan and "n_chars" not in plan and plan.count("ArrowEvalPython") == 1
 
 
-RELATIONS = [n for n in plans.QUERIES if n not in ("md_language_summary", "md_escape", "md_tagfilter", "md_line_table", "md_frontmatter", "md_external_links", "md_mail_candidates", "md_native_helpers")]
+RELATIONS = [n for n in plans.QUERIES if n not in ("md_language_summary", "md_escape", "md_tagfilter", "md_line_table", "md_frontmatter", "md_external_links", "md_mail_candidates", "md_native_helpers")]  # without the kernel
 
 
 @pytest.mark.parametrize("name", RELATIONS)
@@ -117,6 +117,18 @@ def test_sql_functions(spark):
     assert (row.html, row.n, row.depth) == ("<p><del>a</del></p>\n", 4, 1)
 
 
+def test_table_function_of_null_and_empty_texts(spark):
+    M.register(spark, prefix="t_")
+    found = spark.sql("select k, b.type from values (1, null), (2, ''), (3, 'a') as d(k, text), lateral t_blocks(text) b").collect()
+    assert {tuple(r) for r in found} == {(2, "root"), (3, "root"), (3, "paragraph")}
+
+
+def test_references_and_line_ends(spark):
+    text = F.lit("&amp;quot; &am &nosuch; &#65;&#x42; &amp")
+    row = spark.range(1).select(M.decoded(text).alias("a"), M.decoded(F.lit(None).cast("string")).alias("b"), M.normalize_newlines(F.lit("a\r\nb\rc\r\r\n")).alias("c")).first()
+    assert (row.a, row.b, row.c) == ("&quot; &am &nosuch; AB &amp", None, "a\nb\nc\n\n")
+
+
 def test_files_and_streams(spark, tmp_path):
     (tmp_path / "md").mkdir()
     (tmp_path / "md" / "a.md").write_bytes(b"# A\n\xff")
