@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
 _MASK = (1 << 64) - 1
+#: Groups from this size on are worth the milliseconds that :func:`give_back` takes.
+LARGE_GROUP_BYTES = 1 << 20
 _LOCAL_DIR: list[str] = []
 
 
@@ -201,6 +204,50 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
+def give_back() -> None:
+    """Return memory that this worker's allocators hold but no longer use; without it idle workers keep their peak."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # GNU's C library has it
+    if trim:
+        trim(0)
+
+
+def frugal(run):
+    """``run`` (batches to batches) in a worker that gives its memory back when a task ends."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
+def frugal_group(run):
+    """``run`` (a group's table to a table), likewise, after each group of some MB."""
+
+    def task(rows: pa.Table) -> pa.Table:
+        out = run(rows)
+        if rows.nbytes >= LARGE_GROUP_BYTES:
+            give_back()
+        return out
+
+    return task
+
+
+def frugal_cogroup(run):
+    """The same for a pair of groups."""
+
+    def task(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = run(left, right)
+        if left.nbytes + right.nbytes >= LARGE_GROUP_BYTES:
+            give_back()
+        return out
+
+    return task
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int = 2000):
     """Let Arrow batches have ``rows`` rows at most in what runs inside; the session's setting comes back after.

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import frugal
+
 #: Errors allowed, as a share of an item's characters.
 MAX_ERROR = 0.06
 #: Items below this length say too little to be found with errors: they are found unchanged, as whole words.
@@ -179,7 +181,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, max_error: float = MAX_ERR
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), types)], list(rows))
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, " + _MATCH)
+        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(frugal(run), "doc_id long, " + _MATCH)
         out = part if not k else out.union(part)
     return out
 
@@ -194,7 +196,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_error: float =
                 clean = np.array([not finder.find(raw.as_py()) for raw in batch.column(text)], bool)
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(frugal(run), docs.schema)
     return docs
 
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bitmap, Scratch, arrow_rows, mix64, new_vocab, odd_multipliers, word_hashes
+from .common import Bitmap, Scratch, arrow_rows, frugal, mix64, new_vocab, odd_multipliers, word_hashes
 
 #: Tokens of the shortest substring that counts as repeated, and distinct contents of a host that must have it.
 RUN, MIN_PAGES = 8, 3
@@ -377,11 +377,11 @@ def extract_text(pages: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "html")
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     with arrow_rows(spark):
-        read = scratch.table(pages.mapInArrow(_read, "uid long, page_id long, url string, blocks array<string>, kinds array<int>, content long"))
-        runs = read.select("url", "blocks", "kinds", "content").mapInArrow(_runs, "key long, content long")
+        read = scratch.table(pages.mapInArrow(frugal(_read), "uid long, page_id long, url string, blocks array<string>, kinds array<int>, content long"))
+        runs = read.select("url", "blocks", "kinds", "content").mapInArrow(frugal(_runs), "key long, content long")
         repeated = scratch.table(runs.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_PAGES).select("key"))
         often = Bitmap(repeated, "key")
-        places = read.select("uid", "url", "blocks", "kinds").mapInArrow(_places(often.test()), "uid long, key long, place int")
+        places = read.select("uid", "url", "blocks", "kinds").mapInArrow(frugal(_places(often.test())), "uid long, key long, place int")
         covered = scratch.table(places.join(repeated, "key", "left_semi").groupBy("uid").agg(F.collect_set("place").alias("covered")))
         often.drop()
     # Only pages that have a cut are sent to meet it.
@@ -390,7 +390,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     text = "page_id long, url string, text string"
     whole = read.where(~F.col("_touched")).select("page_id", "url", "blocks", "kinds", F.lit(None).cast("array<int>").alias("covered"))
     cut = read.where("_touched").join(covered, "uid", "left").select("page_id", "url", "blocks", "kinds", "covered")
-    return whole.mapInArrow(_cut, text).union(cut.mapInArrow(_cut, text))
+    return whole.mapInArrow(frugal(_cut), text).union(cut.mapInArrow(frugal(_cut), text))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

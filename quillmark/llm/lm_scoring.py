@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, new_vocab, pack, pow2_at_least, unpack, word_hashes
+from .common import Scratch, frugal, frugal_cogroup, frugal_group, mix64, new_vocab, pack, pow2_at_least, unpack, word_hashes
 
 #: Tokens a batch holds at least before it is written out (a longer text is a batch of its own).
 BATCH_TOKENS = 1_000_000
@@ -293,19 +293,19 @@ def backoff_scores(docs: DataFrame, held_out=None, text: str = "text", doc_id: s
     scratch = Scratch(spark, "lm")
     held = F.coalesce(held_out, F.lit(False)) if held_out is not None else F.lit(False)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), held.alias("held"))
-    layouts = scratch.table(rows.mapInArrow(_layouts, _LAYOUT))
+    layouts = scratch.table(rows.mapInArrow(frugal(_layouts), _LAYOUT))
     n_tokens = layouts.agg(F.sum("n_tokens")).first()[0] or 0
     bucket_bits = int(math.log2(pow2_at_least(max(16, n_tokens / BUCKET_TOKENS))))
     key_bits = min(64, int(math.log2(ORDER * n_tokens + 1)) + 1 + SPARE_BITS)
-    sent = layouts.select("lens", "words", "tokens", "held", "batch").mapInArrow(_messages(bucket_bits, key_bits), _MESSAGE)
-    replies = scratch.table(sent.groupBy("bucket").applyInArrow(_bucket_totals, _REPLY))
+    sent = layouts.select("lens", "words", "tokens", "held", "batch").mapInArrow(frugal(_messages(bucket_bits, key_bits)), _MESSAGE)
+    replies = scratch.table(sent.groupBy("bucket").applyInArrow(frugal_group(_bucket_totals), _REPLY))
     stats = (
         replies.where("batch = -1").groupBy("gram")
         .agg(F.array(*[F.sum(F.col("stats")[i]) for i in range(130)]).alias("stats")).collect()
     )
     by_gram = {g: [0.0] * 130 for g in range(1, ORDER + 1)} | {r["gram"]: r["stats"] for r in stats}
     answers = replies.where("batch >= 0").select("batch", "gram", "bucket", "counts")
-    return layouts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_traverse(Weights(by_gram), key_bits), _RESULT)
+    return layouts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(frugal_cogroup(_traverse(Weights(by_gram), key_bits)), _RESULT)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

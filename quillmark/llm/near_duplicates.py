@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Bitmap, Scratch, arrow_rows, components, mix64, new_vocab, odd_multipliers, word_hashes
+from .common import Bitmap, Scratch, arrow_rows, components, frugal, frugal_group, mix64, new_vocab, odd_multipliers, word_hashes
 
 NGRAM = 5
 #: The threshold as a fraction, so that the exact test needs no rounding.
@@ -223,7 +223,7 @@ def forest(reps: DataFrame) -> DataFrame:
     labels = reps.where("sig is not null").select("uid", "sig", F.explode(trees).alias("tree"))
     labels = labels.select("tree", F.substring("sig", F.col("tree") * DEPTH + 1, F.lit(DEPTH)).alias("label"), "uid")
     ordered = labels.repartitionByRange("tree", "label", "uid").sortWithinPartitions("tree", "label", "uid")
-    return ordered.mapInArrow(_company, "tree int, label binary, uid long, shared int")
+    return ordered.mapInArrow(frugal(_company), "tree int, label binary, uid long, shared int")
 
 
 def candidates(trie: DataFrame, reps: DataFrame, depth: int, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -236,7 +236,7 @@ def candidates(trie: DataFrame, reps: DataFrame, depth: int, threshold: float) -
     pairs = lists.select("m", F.posexplode("m").alias("i", "a")).select("a", F.explode(F.slice("m", F.col("i") + 2, F.lit(SMALL_GROUP))).alias("b")).distinct()
     left, right = reps.select(F.col("uid").alias("a"), F.col("sig").alias("sa")), reps.select(F.col("uid").alias("b"), F.col("sig").alias("sb"))
     floor = (threshold - 5 * (threshold * (1 - threshold) / (TREES * DEPTH)) ** 0.5) * TREES * DEPTH
-    alike = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_agreement, "a long, b long, agree int").where(F.col("agree") >= floor)
+    alike = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(frugal(_agreement), "a long, b long, agree int").where(F.col("agree") >= floor)
     ties = grouped.where((F.col("n") > SMALL_GROUP) & (F.col("uid") != F.col("hub"))).select(F.col("uid").alias("a"), F.col("hub").alias("b")).distinct()
     return alike, ties
 
@@ -257,7 +257,7 @@ def near_duplicates(docs: DataFrame, threshold=SIMILARITY, text: str = "text", d
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     t = threshold[0] / threshold[1]
     with arrow_rows(spark):
-        sketched = scratch.table(source.select("doc_id", "text", *fingerprint()).mapInArrow(_sketch, _SKETCH))
+        sketched = scratch.table(source.select("doc_id", "text", *fingerprint()).mapInArrow(frugal(_sketch), _SKETCH))
         texts = scratch.table(sketched.groupBy("f1", "f2").agg(F.min("uid").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least_id")))
         reps = scratch.table(sketched.join(texts.select(F.col("rep").alias("uid")), "uid", "left_semi").select("uid", "doc_id", "f1", "f2", "shingles", "sig"))
         trie = scratch.table(forest(reps))
@@ -276,7 +276,7 @@ def near_duplicates(docs: DataFrame, threshold=SIMILARITY, text: str = "text", d
         wanted = scratch.table(wanted.select("uid", "f1", "f2", F.col("label").alias("cluster"), "copies", "shingles", F.xxhash64("f1", "f2", "doc_id").alias("own")))
         bitmap = Bitmap(wanted, "own")
         columns = source.select("text", *fingerprint(), "doc_id").select("text", "f1", "f2", F.xxhash64("f1", "f2", "doc_id").alias("own"))
-        sent = columns.mapInArrow(_shingled(bitmap.test()), "f1 long, f2 long, sent binary").dropDuplicates(["f1", "f2"])
+        sent = columns.mapInArrow(frugal(_shingled(bitmap.test())), "f1 long, f2 long, sent binary").dropDuplicates(["f1", "f2"])
         sizes = wanted.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
         ready = scratch.table(wanted.join(sizes, "cluster").join(sent, ["f1", "f2"]).select("cluster", "blocks", "uid", "copies", "sent"))
         bitmap.drop()
@@ -284,7 +284,7 @@ def near_duplicates(docs: DataFrame, threshold=SIMILARITY, text: str = "text", d
         ready = ready.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         ready = ready.withColumn("one", F.least("block", "with")).withColumn("two", F.greatest("block", "with"))
         fields = ["uid", "copies", "block", "sent"]
-        checked = ready.groupBy("cluster", "one", "two").applyInArrow(lambda g: _verify(threshold)(g.select(fields)), "uid long, links long, head long")
+        checked = ready.groupBy("cluster", "one", "two").applyInArrow(frugal_group(lambda g: _verify(threshold)(g.select(fields))), "uid long, links long, head long")
         checked = scratch.table(checked)
         linked = components(checked.where("uid <> head").select(F.col("uid").alias("a"), F.col("head").alias("b")), scratch)
         counts = checked.groupBy("uid").agg(F.sum("links").alias("links"))

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Bitmap, Scratch
+from .common import Bitmap, Scratch, frugal
 
 _QUOTE = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)")
 #: A sentence of a normalised passage: up to a full stop or the like (and closing marks) before a blank or the end.
@@ -135,7 +135,7 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     """
     scratch = Scratch(messages.sparkSession, "quotes")
     rows = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    parsed = scratch.table(rows.mapInArrow(_parse, _PARSED))
+    parsed = scratch.table(rows.mapInArrow(frugal(_parse), _PARSED))
     threads = _threads(_links(parsed, scratch), scratch)
     turns = parsed.select("uid", "turn")
     named = (
@@ -147,7 +147,7 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     keys = ["conv_id", "thread", "turn", "uid"]
     ordered = joined.repartitionByRange(*keys).sortWithinPartitions(*keys)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema.fields)
-    numbered = scratch.table(ordered.mapInArrow(_numbered, fields + ", nth long, part int"))
+    numbered = scratch.table(ordered.mapInArrow(frugal(_numbered), fields + ", nth long, part int"))
     pieces = numbered.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).where("first > 0")

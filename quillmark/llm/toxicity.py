@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_rows, mix64, new_vocab, word_hashes
+from .common import Scratch, arrow_rows, frugal, frugal_group, mix64, new_vocab, word_hashes
 
 #: The bound of the training sample: labelled rows with the smallest hash of their id.
 TRAIN_ROWS = 12_288
@@ -109,10 +109,10 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, epoc
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # train_rows short rows
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"), F.first("rank").alias("rank"))
     with arrow_rows(spark):
-        rows = scratch.table(rows.select(F.col("doc_id").cast("long"), "toxic", "rank", "text").mapInArrow(_featured, "doc_id long, toxic int, rank long, size long, at array<int>"))
+        rows = scratch.table(rows.select(F.col("doc_id").cast("long"), "toxic", "rank", "text").mapInArrow(frugal(_featured), "doc_id long, toxic int, rank long, size long, at array<int>"))
     before = F.sum("size").over(Window.orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # over train_rows sizes
     fitting = rows.select("doc_id", "rank", "size").withColumn("sum", before).where(F.col("sum") <= TRAIN_COORDINATES).select("doc_id")
-    fitted = rows.join(fitting, "doc_id", "left_semi").withColumn("part", F.lit(1)).groupBy("part").applyInArrow(_train(epochs), _WEIGHTS).collect()
+    fitted = rows.join(fitting, "doc_id", "left_semi").withColumn("part", F.lit(1)).groupBy("part").applyInArrow(frugal_group(_train(epochs)), _WEIGHTS).collect()
     return (fitted[0]["coordinates"], fitted[0]["weights"]) if fitted else ([], [])
 
 
@@ -155,7 +155,7 @@ def score(docs: DataFrame, coordinates: list[int], weights: list[float], extra:
             names = [f.name for f in fields]
             yield pa.RecordBatch.from_arrays([batch.column(x) for x in names] + [pa.array(values, pa.float64())], [*names, "score"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(frugal(run), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import frugal, shared_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (host, path, verdict)
@@ -128,7 +128,7 @@ def url_verdicts(urls: DataFrame, rules=RULES, default: str = DEFAULT, url: str
             verdict = [("block" if index.verdicts[b[2]] else "allow") if b else default for b in chosen]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], [*batch.schema.names, "rule", "verdict"])
 
-    return parts.mapInArrow(run, schema)
+    return parts.mapInArrow(frugal(run), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
