@@ -112,10 +112,10 @@ def md_to_html(text: Column, options: Options = Options(), emoji: dict[str, str]
     return F.arrow_udf(_strings(lambda t: _renderer(flags, names).render(t)), T.StringType())(text)
 
 
-def md_to_unified_html(text: Column, options: Options = Options()) -> Column:
-    """HTML of the tree, in the dialect of the unified ecosystem (null: null)."""
+def md_to_unified_html(text: Column, options: Options = Options(), element: Callable[[str, dict], tuple[str | None, dict] | None] | None = None) -> Column:
+    """HTML of the tree, in the dialect of the unified ecosystem (null: null). ``element``: tags and attributes of nodes by a plug-in, see :class:`UnifiedRenderer`."""
     flags = options.flags
-    return F.arrow_udf(_strings(lambda t: UnifiedRenderer().render(_builder(flags, True).build(t))), T.StringType())(text)
+    return F.arrow_udf(_strings(lambda t: UnifiedRenderer(element).render(_builder(flags, True).build(t))), T.StringType())(text)
 
 
 def md_to_json(text: Column, options: Options = Options(), positions: bool = False) -> Column:

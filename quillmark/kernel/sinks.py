@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 from .tree import Points, Row
 
@@ -19,6 +20,8 @@ _JSON = {
 }
 _CHILDLESS = frozenset("thematicBreak code html text inlineCode break image imageReference definition yaml toml footnoteReference".split())
 _EMPTY = frozenset("html definition yaml toml".split())
+#: Nodes that are one element around their children.
+_ELEMENTS = {"paragraph": "p", "emphasis": "em", "strong": "strong", "delete": "del", "defListTerm": "dt", "defListDescription": "dd"}
 _UNSAFE = re.compile(r"%[0-9A-Za-z]{2}|[^!#-;=?-Z_a-z~]|[&']")
 _LINE_EDGE = re.compile(r"[ \t]*(\r\n|\n|\r)[ \t]*")
 
@@ -94,7 +97,28 @@ def trim_lines(text: str) -> str:
 
 
 class UnifiedRenderer:
-    """HTML of a tree: no raw HTML, no checkboxes, line ends between blocks only."""
+    """HTML of a tree: no raw HTML, no checkboxes, line ends between blocks only.
+
+    ``element(type, attributes)`` may give a node another tag (None: its own) and further HTML attributes, as
+    plug-ins do by ``hName`` and ``hProperties``; they win over the node's own. None or False as a value leaves an
+    attribute out, True gives it no text. A node that has no element by itself (a directive) becomes one by its tag.
+    """
+
+    def __init__(self, element: Callable[[str, dict], tuple[str | None, dict] | None] | None = None):
+        self.element = element
+
+    def _tags(self, row: Row, tag: str | None, **own: str) -> tuple[str, str]:
+        """A node's tags; the values of ``own`` are escaped already."""
+        found = self.element(row.type, row.attrs) if self.element else None
+        if found:
+            tag = found[0] or tag
+            for name, value in found[1].items():
+                own.pop(name, None)
+                if value is not None and value is not False:
+                    own[name] = "" if value is True else escape_attribute(str(value))
+        if tag is None:
+            return "", ""
+        return f"<{tag}" + "".join(f' {name}="{value}"' for name, value in own.items()) + ">", f"</{tag}>"
 
     def render(self, rows: list[Row]) -> str:
         self.rows, self.kids = rows, _kids(rows)
@@ -121,7 +145,8 @@ class UnifiedRenderer:
 
     def _item(self, row: Row, loose: bool) -> list:
         shown = [n for n in self.kids[row.id] if self.rows[n].type not in _EMPTY]
-        pieces: list = ["<li>"]
+        opening, closing = self._tags(row, "li")
+        pieces: list = [opening]
         for k, n in enumerate(shown):
             tight = self.rows[n].type == "paragraph" and not loose
             if k or not tight:
@@ -129,11 +154,7 @@ class UnifiedRenderer:
             pieces += self.kids[n] if tight else [n]
         if shown and (loose or self.rows[shown[-1]].type != "paragraph"):
             pieces.append("\n")
-        return [*pieces, "</li>"]
-
-    @staticmethod
-    def _title(title: str | None) -> str:
-        return "" if title is None else f' title="{escape_attribute(title)}"'
+        return [*pieces, closing]
 
     def _pieces(self, row: Row) -> list:
         kind, attrs, kids = row.type, row.attrs, self.kids[row.id]
@@ -142,68 +163,74 @@ class UnifiedRenderer:
         if kind == "text":
             return [escape_text(trim_lines(attrs["value"]))]
         if kind == "inlineCode":
-            return [f"<code>{escape_text(re.sub(chr(13) + '?' + chr(10) + '|' + chr(13), ' ', attrs['value']))}</code>"]
-        if kind == "heading":
-            return [f"<h{attrs['depth']}>", *kids, f"</h{attrs['depth']}>"]
+            opening, closing = self._tags(row, "code")
+            return [opening + escape_text(re.sub(chr(13) + "?" + chr(10) + "|" + chr(13), " ", attrs["value"])) + closing]
         if kind == "blockquote":
-            return ["<blockquote>", *self._wrapped(kids, True), "</blockquote>"]
+            opening, closing = self._tags(row, "blockquote")
+            return [opening, *self._wrapped(kids, True), closing]
         if kind == "list":
-            tag = "ol" if attrs["ordered"] else "ul"
-            start = f' start="{attrs["start"]}"' if attrs["ordered"] and attrs["start"] != 1 else ""
+            start = {"start": str(attrs["start"])} if attrs["ordered"] and attrs["start"] != 1 else {}
+            opening, closing = self._tags(row, "ol" if attrs["ordered"] else "ul", **start)
             loose = attrs["spread"] or any(self.rows[n].attrs["spread"] for n in kids)
-            pieces: list = [f"<{tag}{start}>\n"]
+            pieces: list = [opening + "\n"]
             for k, n in enumerate(kids):
                 pieces += (["\n"] if k else []) + self._item(self.rows[n], loose)
-            return [*pieces, f"\n</{tag}>"]
+            return [*pieces, "\n" + closing]
         if kind == "code":
             words = (attrs["lang"] or "").split()
-            language = f' class="language-{escape_attribute(words[0])}"' if words else ""
-            return [f"<pre><code{language}>{escape_text(attrs['value'])}" + ("\n" if attrs["value"] else "") + "</code></pre>"]
+            opening, closing = self._tags(row, "code", **({"class": f"language-{escape_attribute(words[0])}"} if words else {}))
+            return [f"<pre>{opening}{escape_text(attrs['value'])}" + ("\n" if attrs["value"] else "") + f"{closing}</pre>"]
         if kind == "thematicBreak":
-            return ["<hr>"]
+            return [self._tags(row, "hr")[0]]
         if kind == "break":
-            return ["<br>\n"]
-        if kind in ("paragraph", "emphasis", "strong", "delete") and not attrs.get("directive_label"):
-            tag = {"paragraph": "p", "emphasis": "em", "strong": "strong", "delete": "del"}[kind]
-            return [f"<{tag}>", *kids, f"</{tag}>"]
+            return [self._tags(row, "br")[0] + "\n"]
+        if kind in _ELEMENTS or kind == "heading":
+            label = attrs.get("directive_label")
+            opening, closing = self._tags(row, None if label else _ELEMENTS.get(kind) or f"h{attrs['depth']}")
+            return [opening, *kids, closing]
         if kind in ("link", "image"):
-            return self._target(kind == "image", attrs["url"], attrs["title"], attrs.get("alt"), kids)
+            return self._target(row, attrs["url"], attrs["title"])
         if kind in ("linkReference", "imageReference"):
             target = self.targets.get(attrs["identifier"])
             if target:
-                return self._target(kind[0] == "i", target.attrs["url"], target.attrs["title"], attrs.get("alt"), kids)
+                return self._target(row, target.attrs["url"], target.attrs["title"])
             suffix = {"shortcut": "]", "collapsed": "][]"}.get(attrs["reference_type"], f"][{attrs['label'] or attrs['identifier']}]")
             return [escape_text(f"![{attrs['alt']}{suffix}")] if kind[0] == "i" else ["[", *kids, escape_text(suffix)]
         if kind == "defList":
-            return ["<dl>\n", *(piece for n in kids for piece in (n, "\n")), "</dl>"]
-        if kind in ("defListTerm", "defListDescription"):
-            tag = "dt" if kind == "defListTerm" else "dd"
-            return [f"<{tag}>", *kids, f"</{tag}>"]
+            opening, closing = self._tags(row, "dl")
+            return [opening + "\n", *(piece for n in kids for piece in (n, "\n")), closing]
         if kind == "table":
             return self._table(row)
         if kind in ("html", "definition", "yaml", "toml", "footnoteReference"):
             return []
-        return list(kids)
+        opening, closing = self._tags(row, None)
+        return [opening, *kids, closing]
 
-    def _target(self, image: bool, url: str, title: str | None, alt: str | None, kids: list[int]) -> list:
-        if image:
-            return [f'<img src="{escape_uri(url)}" alt="{escape_attribute(alt)}"{self._title(title)}>']
-        return [f'<a href="{escape_uri(url)}"{self._title(title)}>', *kids, "</a>"]
+    def _target(self, row: Row, url: str, title: str | None) -> list:
+        more = {} if title is None else {"title": escape_attribute(title)}
+        if row.type.startswith("image"):
+            return [self._tags(row, "img", src=escape_uri(url), alt=escape_attribute(row.attrs["alt"]), **more)[0]]
+        opening, closing = self._tags(row, "a", href=escape_uri(url), **more)
+        return [opening, *self.kids[row.id], closing]
 
     def _table(self, row: Row) -> list:
         """A table by the same line rules; its rows padded or cut to the head's width."""
         align = row.attrs["align"]
-        pieces: list = ["<table>\n"]
+        opening, closing = self._tags(row, "table")
+        pieces: list = [opening + "\n"]
         for k, number in enumerate(self.kids[row.id]):
             tag = "td" if k else "th"
             pieces.append({0: "<thead>\n", 1: "<tbody>\n"}.get(k, ""))
-            pieces.append("<tr>\n")
+            tr = self._tags(self.rows[number], "tr")
+            pieces.append(tr[0] + "\n")
             cells = self.kids[number]
             for j, a in enumerate(align):
-                pieces.append(f'<{tag} align="{a}">' if a else f"<{tag}>")
+                own = {"align": a} if a else {}
+                first, last = self._tags(self.rows[cells[j]], tag, **own) if j < len(cells) else (f'<{tag} align="{a}">' if a else f"<{tag}>", f"</{tag}>")
+                pieces.append(first)
                 pieces += self.kids[cells[j]] if j < len(cells) else []
-                pieces.append(f"</{tag}>\n")
-            pieces.append("</tr>\n")
+                pieces.append(last + "\n")
+            pieces.append(tr[1] + "\n")
             if not k:
                 pieces.append("</thead>\n")
-        return [*pieces, "</tbody>\n</table>" if len(self.kids[row.id]) > 1 else "</table>"]
+        return [*pieces, f"</tbody>\n{closing}" if len(self.kids[row.id]) > 1 else closing]

@@ -1,5 +1,6 @@
 """Relations over the node table."""
 
+from .profile import phase_profile
 from .relational import (
     code_blocks,
     definitions,
@@ -21,5 +22,6 @@ from .relational import (
 
 __all__ = [
     "code_blocks", "definitions", "descendants", "footnotes", "heading_slugs", "inside", "leaf_text", "links", "node_counts", "nodes", "outline",
+    "phase_profile",
     "render_html", "resolve_references", "table_cells", "tasks", "used_footnotes",
 ]

@@ -388,6 +388,27 @@ _html("md_unified_lists", r"concat('3. ', p_name, '\n\n   more\n4. x\n\n- a\n  -
     || '<ul>' || chr(10) || '<li>a' || chr(10) || '<ul>' || chr(10) || '<li>' || p_brand || '</li>' || chr(10) || '</ul>' || chr(10) || '</li>' || chr(10) || '</ul>' || chr(10) || '<pre><code class="language-py">x' || chr(10) || '</code></pre>'""", "part", "p_partkey", unified=True)
 
 
+def _note_element(kind: str, attributes: dict):
+    """Directives become asides, and headings get a class, as a plug-in would do it."""
+    if kind == "leafDirective":
+        return "aside", dict(attributes["attributes"]) | {"data-name": attributes["name"]}
+    return (None, {"class": "title"}) if kind == "heading" else None
+
+
+@_query("""select p_partkey, '<h2 class="title">' || p_brand || '</h2>' || chr(10) || '<aside id="n' || p_partkey || '" data-name="note">see <em>' || p_name || '</em></aside>' as html from part""")
+def md_unified_elements(spark, sf_dir):
+    """Tags and attributes that a plug-in gives to nodes."""
+    docs = _one(r"concat('## ', p_brand, '\n\n::note[see *', p_name, '*]', chr(123), '#n', p_partkey, chr(125))", "part", "p_partkey")(spark, sf_dir)
+    return docs.select("p_partkey", M.md_to_unified_html(F.col("text"), FULL, _note_element).alias("html"))
+
+
+@_query("select count(*)::bigint as documents, coalesce(sum(length(text)), 0)::bigint as characters, true as timed from documents where text is not null")
+def md_phase_profile(spark, sf_dir):
+    """What was measured; the seconds themselves differ from run to run."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")
+    return R.phase_profile(docs).select("documents", "characters", ((F.col("blocks") >= 0) & (F.col("tree") > 0) & (F.col("html") > 0)).alias("timed"))
+
+
 @_query("""select p_partkey, x.type as type, x.l1::int as start_line, x.c1::int as start_column, x.o1::int as start_offset, x.l2::int as end_line, x.c2::int as end_column, x.o2::int as end_offset from (
     select p_partkey, unnest([
       {'type': 'root', 'l1': 1, 'c1': 1, 'o1': 0, 'l2': 3, 'c2': n + 9, 'o2': n + 17},

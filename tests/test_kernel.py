@@ -93,6 +93,24 @@ def test_unified_html():
     assert render("> a & b\n\n<x>\n\n[q]\n\n[q]: /u 'T'\n") == '<blockquote>\n<p>a &#x26; b</p>\n</blockquote>\n<p><a href="/u" title="T">q</a></p>'
 
 
+def test_elements_of_a_plug_in():
+    def element(kind, attributes):
+        if kind in ("textDirective", "leafDirective", "containerDirective"):
+            return attributes["name"], dict(attributes["attributes"])
+        if kind == "link":
+            return None, {"rel": 'a"b', "title": None, "download": True, "hidden": False}
+        return {"heading": ("h6", {"class": "t"}), "tableCell": (None, {"align": "center", "class": "c"}), "code": (None, {"class": "plain"})}.get(kind)
+
+    options = Options(tables=True, directives=True)
+    render = lambda t: UnifiedRenderer(element).render(TreeBuilder(options).build(t))
+    assert render("# a *b*") == '<h6 class="t">a <em>b</em></h6>'
+    assert render("[x](/u 'T') :mark[y]{#z}") == '<p><a href="/u" rel="a&#x22;b" download="">x</a> <mark id="z">y</mark></p>'
+    assert render("::video[x]{src=y}\n\n```js\n1\n```") == '<video src="y">x</video>\n<pre><code class="plain">1\n</code></pre>'
+    assert '<th align="center" class="c">a</th>' in render("|a|\n|:-|\n")
+    plain = "# a\n\n1. b\n\n   c\n\n> ![d](e 'f') `g`  \nh\n\n***\n"
+    assert UnifiedRenderer(lambda *_: None).render(TreeBuilder().build(plain)) == UnifiedRenderer().render(TreeBuilder().build(plain))
+
+
 _MARKUP = st.lists(st.sampled_from([*"ab \n\t#>-*_`[]()!<&:|~1.^=+{}\\é😀", "https://a.b ", "\n\n", "- ", "> ", "[^a]: "]), max_size=60).map("".join)
 
 

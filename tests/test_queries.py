@@ -59,7 +59,8 @@ def test_filters_reach_the_scan(spark):
     assert "EqualTo(doc_id,5)" in plan and "n_chars" not in plan and plan.count("ArrowEvalPython") == 1
 
 
-RELATIONS = [n for n in plans.QUERIES if n not in ("md_language_summary", "md_escape", "md_tagfilter", "md_line_table", "md_frontmatter", "md_external_links", "md_mail_candidates", "md_native_helpers")]  # without the kernel
+RELATIONS = [n for n in plans.QUERIES if n not in ("md_language_summary", "md_escape", "md_tagfilter", "md_line_table", "md_frontmatter", "md_external_links", "md_mail_candidates", "md_native_helpers",  # without the kernel
+                                             "md_phase_profile")]  # runs each phase by itself to time it, in one MapInArrow (below)
 
 
 @pytest.mark.parametrize("name", RELATIONS)
@@ -68,6 +69,15 @@ def test_each_relation_parses_once(spark, name):
     assert plan.count("ArrowEvalPython") == 1
 
 
+def test_phase_profile(spark):
+    docs = spark.createDataFrame([("# a *b*",), (None,), ("",)], "text string")
+    row = R.phase_profile(docs).first()
+    assert (row["documents"], row["characters"]) == (2, 7) and row["blocks"] > 0 and row["tree"] > 0 and row["html"] > 0
+    assert tuple(R.phase_profile(docs.limit(0)).first()) == (0, 0, 0.0, 0.0, 0.0)
+    plan = plans.QUERIES["md_phase_profile"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ReadSchema: struct<text:string>" in plan
+
+
 def test_node_types_by_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     builder = TreeBuilder(Options.full())
