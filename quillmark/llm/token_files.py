@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Collection
 
 import numpy as np
@@ -30,10 +32,12 @@ PAGE_ROWS = 500
 #: Ids that a task hands over at once (a longer document alone).
 BATCH_IDS = 1 << 20
 #: Words whose ids a worker remembers (about 200 bytes each); then it forgets all and starts anew.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 400_000
 #: Files up to which the manifest (some 40 bytes a row) is broadcast when it is joined to the files' rows.
 BROADCAST_FILES = 100_000
-_LETTERS = re.compile(rb"([a-z]+)([.,;:!?]*)")
+#: Latin letters, then ASCII punctuation without the apostrophe: what most words are.
+_LETTERS = re.compile(r"([a-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 _KEPT: dict = {}  # of a Python worker: its tokenizer
 
 
@@ -43,22 +47,31 @@ class WordMemo(dict):
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer, self.model = tokenizer, tokenizer.model
-        pieces = tokenizer.pre_tokenizer.pre_tokenize_str("abc.,;") if tokenizer.pre_tokenizer else []
-        #: Whether letters are one piece that reaches the model as it is, and points after them another.
-        self.direct = [p for p, _ in pieces] == ["abc", ".,;"] and (not tokenizer.normalizer or tokenizer.normalizer.normalize_str("abc") == "abc")
+        #: How the model sees Latin letters, if such a letter and a run of them are one piece each and points after them another.
+        self.seen: dict[int, str] | None = None
+        before, normal = tokenizer.pre_tokenizer, tokenizer.normalizer
+        if before and normal:
+            letters = [chr(c) for c in range(0xDF, 0x100) if c != 0xF7]
+            seen = {ord(c): before.pre_tokenize_str(c)[0][0] for c in letters}
+            whole = "abc" + "".join(letters)
+            pieces = [p for p, _ in before.pre_tokenize_str(whole + ".,;%&")]
+            if pieces == [whole.translate(seen), ".,;%&"] and normal.normalize_str(whole) == whole and normal.normalize_str("AÉ") == "aé":
+                self.seen = seen
 
     def __missing__(self, word: bytes) -> bytes:
-        found = _LETTERS.fullmatch(word) if self.direct else None
+        text = word.decode()
+        found = _LETTERS.fullmatch(text) if self.seen else None
         if not found:
-            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         elif found[2]:
-            return self.setdefault(word, self[found[1]] + self.points(found[2]))
+            return self.setdefault(word, self[found[1].encode()] + self.points(found[2]))
         else:
-            ids = [t.id for t in self.model.tokenize(word.decode())]
-        return self.setdefault(word, np.array(ids, "<u4").tobytes())
+            ids = [t.id for t in self.model.tokenize(text.lower().translate(self.seen) if not text.isascii() else text)]
+        return self.setdefault(word, array("I", ids).tobytes() if _LITTLE else np.array(ids, "<u4").tobytes())
 
-    def points(self, word: bytes) -> bytes:
-        return self.get(word) or self.setdefault(word, np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes())
+    def points(self, text: str) -> bytes:
+        word = text.encode()
+        return self.get(word) or self.setdefault(word, np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
 
 
 class Encoder:

@@ -36,7 +36,7 @@ def test_query_by_brute_force(spark):
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.lists(st.one_of(st.text(max_size=12), st.sampled_from([" ", "\n", "\x1c", " ", "it's", "é", "É", "<|endoftext|>", "<|ENDOFTEXT|>", "ΑΣ", "word,", "word's.", "3rd", "x'.", "İ"])), max_size=12).map("".join))
+@given(st.lists(st.one_of(st.text(max_size=12), st.sampled_from([" ", "\n", "\x1c", " ", "it's", "é", "É", "<|endoftext|>", "<|ENDOFTEXT|>", "ΑΣ", "word,", "word's.", "3rd", "x'.", "İ", "Éa%&", "ça.'", "÷é", "ß", "ÿ!", "e\u0301", "\u0301", "abc[x]"])), max_size=12).map("".join))
 def test_words_one_by_one_equal_the_whole_text(text):
     text = text.encode("utf-8", "replace").decode()
     assert np.frombuffer(ENCODER(text), "<u4").tolist() == ids_of(text)
