@@ -4,7 +4,6 @@ from .profile import phase_profile
 from .relational import (
     code_blocks,
     definitions,
-    descendants,
     footnotes,
     heading_slugs,
     inside,
@@ -19,9 +18,11 @@ from .relational import (
     tasks,
     used_footnotes,
 )
+from .rendering import nodes_to_html, nodes_to_json
+from .trees import all_ancestors, descendants, drop_subtrees, insert_subtrees, nearest_ancestor, renumber, unwrap
 
 __all__ = [
-    "code_blocks", "definitions", "descendants", "footnotes", "heading_slugs", "inside", "leaf_text", "links", "node_counts", "nodes", "outline",
-    "phase_profile",
-    "render_html", "resolve_references", "table_cells", "tasks", "used_footnotes",
+    "all_ancestors", "code_blocks", "definitions", "descendants", "drop_subtrees", "footnotes", "heading_slugs", "insert_subtrees", "inside", "leaf_text",
+    "links", "nearest_ancestor", "node_counts", "nodes", "nodes_to_html", "nodes_to_json", "outline", "phase_profile", "render_html", "renumber",
+    "resolve_references", "table_cells", "tasks", "unwrap", "used_footnotes",
 ]

@@ -114,12 +114,6 @@ def code_blocks(tree: DataFrame, key: str = "doc_id") -> DataFrame:
     return tree.where("type = 'code'").select(key, "node_id", "lang", "meta", "value")
 
 
-def descendants(tree: DataFrame, ancestors: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The nodes below each of ``ancestors`` (rows of the same table): a range join within documents."""
-    above = ancestors.select(key, F.col("node_id").alias("ancestor_id"), F.col("subtree_end").alias("_last"))
-    return tree.join(above, key).where("node_id > ancestor_id and node_id <= _last").drop("_last")
-
-
 def inside(tree: DataFrame, kind: str, key: str = "doc_id") -> DataFrame:
     """The nodes below any node of a type, by a running window: a node is inside while the last such subtree goes on."""
     before = Window.partitionBy(key).orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
