@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..kernel.chars import decode_references
+from ..kernel.chars import label_key as fold_label
 from ..kernel.html import HtmlRenderer
 from ..kernel.sinks import UnifiedRenderer, to_json
 from ..kernel.tree import Points, TreeBuilder, add_text, select
@@ -124,6 +125,22 @@ def md_to_json(text: Column, options: Options = Options(), positions: bool = Fal
     return F.arrow_udf(_strings(lambda t: to_json(_builder(flags, True).build(t), t if positions else None)), T.StringType())(text)
 
 
+def md_to_html_each(texts: Column, options: Options = Options()) -> Column:
+    """:func:`md_to_html` of each text of an array (null: null)."""
+    flags = options.flags
+
+    def run(lists: pa.Array) -> pa.Array:
+        render = _renderer(flags).render
+        return pa.array([None if row is None else [None if t is None else render(t) for t in row] for row in lists.to_pylist()], pa.list_(pa.string()))
+
+    return F.arrow_udf(run, T.ArrayType(T.StringType()))(texts)
+
+
+def label_key(label: Column) -> Column:
+    """What reference labels are compared by (null: null): the kernel's own folding."""
+    return F.arrow_udf(_strings(fold_label), T.StringType())(label)
+
+
 def decoded(text: Column) -> Column:
     """Character references resolved, unknown ones and those without a semicolon as they are (null: null)."""
     return F.arrow_udf(_strings(decode_references), T.StringType())(text)

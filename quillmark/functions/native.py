@@ -9,7 +9,14 @@ from ..kernel.html import FILTERED_TAGS
 
 _TAGS = r"(?i)<(?=(?:" + "|".join(FILTERED_TAGS) + r")(?:[ \t\n\r\f/>]|$))"
 _EXTERNAL = r'(<a href="https?://[^"]*"(?:[^">]|"[^"]*")*)>'
-_MARKED = r"(?m)^[ \t]*[#>~+\-=0-9]|^(?: {4}| {0,3}\t)|  $|[\\`*_\[\]!<&]"
+# What may begin a block or end a line, and what may begin an inline: an emphasis mark that opens has no blank after it.
+_MARKED = (
+    r"(?m)^[ \t]*(?:[#>~+\-=*_|]|[0-9]{1,9}[.)])|^(?: {4}| {0,3}\t)|  $"
+    r"|(?=[`\[*_&<\\])(?:[`\[]|[*_](?=[^ \t\n*_])|&(?=[#A-Za-z])|<(?=[A-Za-z/!?])|\\(?=[!-/:-@\[-`{-~\n]))"
+)
+#: What may reach over blank lines from the part where it begins, or from one part to another: fences, HTML blocks, definitions.
+_REACHING = r"(?i)```|~~~|<[!?]|<(?:script|pre|style|textarea)|\]:|\x01"
+_PARTS = r"(?s).+?(?:\n(?:[ \t]*\n)+|\z)"
 _YAML = r"(?s)\A---[ \t]*\r?\n(?:(.*?)\r?\n)??---[ \t]*\r?(?:\n|\z)"
 _TOML = r"(?s)\A\+\+\+[ \t]*\r?\n(?:(.*?)\r?\n)??\+\+\+[ \t]*\r?(?:\n|\z)"
 
@@ -75,16 +82,38 @@ def plain_html(text: Column) -> Column:
     return F.array_join(shown, "")
 
 
+def route(text: Column) -> Column:
+    """A text cut into segments (null: null): those at even places are plain, those at odd places are for the kernel.
+
+    The cuts are where no block can be open: at blank lines before or after parts that are plain and not indented. Where something may reach over
+    such lines, the whole text is one segment for the kernel. The segments' HTML, one after the other, is the text's.
+    """
+    parts = F.transform(F.regexp_extract_all(text, F.lit(_PARTS), F.lit(0)), lambda p: F.struct((is_plain(p) & ~F.regexp_like(p, F.lit(r"\A[ \t]"))).alias("plain"), p.alias("text")))
+    # Each part beside the one before it (a plain one stands before the first); the last pair has no part.
+    ahead = F.concat(F.array(F.struct(F.lit(True).alias("plain"), F.lit("").alias("text"))), parts)
+    changes = F.zip_with(parts, ahead, lambda p, q: F.when(p["plain"] != q["plain"], F.concat(F.lit("\x01"), p["text"])).otherwise(F.coalesce(p["text"], F.lit(""))))
+    cut = F.split(F.array_join(changes, ""), "\x01", -1)
+    return F.when(is_plain(text), F.array(text)).when(F.regexp_like(text, F.lit(_REACHING)), F.array(F.lit(""), text)).when(text.isNotNull(), cut)
+
+
+def for_kernel(segments: Column) -> Column:
+    """The segments of :func:`route` that the kernel has to see."""
+    return F.filter(segments, lambda s, i: i % 2 == 1)
+
+
+def reassembled(segments: Column, rendered: Column) -> Column:
+    """The HTML of all segments in their order, given that of the kernel's."""
+    ended = lambda html: F.when((html == "") | F.endswith(html, F.lit("\n")), html).otherwise(F.concat(html, F.lit("\n")))
+    last = F.size(segments) - 1
+    pieces = F.transform(segments, lambda s, i: F.when(i % 2 == 0, plain_html(s)).when(i == last, F.get(rendered, F.floor(i / 2).cast("int"))).otherwise(ended(F.get(rendered, F.floor(i / 2).cast("int")))))
+    return F.array_join(pieces, "")
+
+
 def heading_slug(text: Column) -> Column:
     """The id of a heading with the given text, before repeats are told apart."""
     return F.lower(F.regexp_replace(F.replace(text, F.lit(" "), F.lit("-")), r"[^\p{L}\p{N}\p{M}_-]", ""))
 
 
-def label_key(label: Column) -> Column:
-    """What reference labels are compared by: blanks folded, case ignored."""
-    return F.replace(F.lower(F.regexp_replace(F.trim(F.regexp_replace(label, r"\s+", " ")), r"\s+", " ")), F.lit("ß"), F.lit("ss"))
-
-
 def code_language(info: Column) -> Column:
     return F.nullif(F.regexp_extract(info, r"^\s*(\S+)", 1), F.lit(""))
 

@@ -14,6 +14,7 @@ from .relational import (
     outline,
     render_html,
     resolve_references,
+    routing,
     table_cells,
     tasks,
     used_footnotes,
@@ -24,5 +25,5 @@ from .trees import all_ancestors, descendants, drop_subtrees, insert_subtrees, n
 __all__ = [
     "all_ancestors", "code_blocks", "definitions", "descendants", "drop_subtrees", "footnotes", "heading_slugs", "insert_subtrees", "inside", "leaf_text",
     "links", "nearest_ancestor", "node_counts", "nodes", "nodes_to_html", "nodes_to_json", "outline", "phase_profile", "render_html", "renumber",
-    "resolve_references", "table_cells", "tasks", "unwrap", "used_footnotes",
+    "resolve_references", "routing", "table_cells", "tasks", "unwrap", "used_footnotes",
 ]

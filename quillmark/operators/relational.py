@@ -12,7 +12,7 @@ from collections.abc import Collection
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import heading_slug, is_plain, md_nodes_array, md_to_html, plain_html
+from ..functions import for_kernel, heading_slug, md_nodes_array, md_to_html_each, reassembled, route
 from ..kernel.tree import LEAVES
 from ..options import Options
 
@@ -24,10 +24,17 @@ def nodes(docs: DataFrame, key: str = "doc_id", text: str = "text", options: Opt
 
 
 def render_html(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``html``: plain documents in generated code, the others by the kernel, in one scan."""
-    source = docs.select(F.col(key), F.col(text).alias("_t"), F.coalesce(is_plain(F.col(text)), F.lit(True)).alias("_plain"))
-    parsed = md_to_html(F.when(~F.col("_plain"), F.col("_t")))
-    return source.select(key, F.when(F.col("_plain"), plain_html(F.col("_t"))).otherwise(parsed).alias("html"))
+    """``key`` and ``html``: plain parts of documents in the JVM, the others by the kernel, in one scan (null: null)."""
+    routed = docs.select(F.col(key), route(F.col(text)).alias("_s"))
+    seen = routed.withColumn("_h", md_to_html_each(for_kernel(F.col("_s"))))
+    return seen.select(key, reassembled(F.col("_s"), F.col("_h")).alias("html"))
+
+
+def routing(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, n_chars, kernel_chars``: how much of each document :func:`render_html` takes to Python (null texts: 0)."""
+    segments = route(F.coalesce(F.col(text), F.lit("")))
+    sent = F.aggregate(for_kernel(segments), F.lit(0).cast("long"), lambda n, s: n + F.length(s))
+    return docs.select(F.col(key), F.length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_chars"), sent.alias("kernel_chars"))
 
 
 def leaf_text(tree: DataFrame, key: str = "doc_id", types: Collection[str] = LEAVES) -> DataFrame:

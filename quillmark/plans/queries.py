@@ -109,7 +109,7 @@ def _nation_outline(spark, sf_dir):
 @_query("""select n_nationkey, 1 as depth, n_name as text from nation where n_nationkey in (select s_nationkey from supplier)
     union all select s_nationkey, case when s_suppkey % 2 = 0 then 2 else 1 end, s_name from supplier join nation on n_nationkey = s_nationkey""")
 def md_outline(spark, sf_dir):
-    tree = R.nodes(_nation_outline(spark, sf_dir), "n_nationkey", types=["heading", "text"])
+    tree = R.nodes(_nation_outline(spark, sf_dir), "n_nationkey", types=["heading"])
     return R.outline(tree, "n_nationkey").select("n_nationkey", "depth", "text")
 
 
@@ -129,7 +129,7 @@ def _segments(spark, sf_dir):
 @_query("""select c_nationkey, slug || case when n = 0 then '' else '-' || n end as slug from (select c_nationkey, 'the-' || lower(c_mktsegment) as slug,
     row_number() over (partition by c_nationkey, c_mktsegment order by c_custkey) - 1 as n from customer)""")
 def md_heading_slugs(spark, sf_dir):
-    tree = R.nodes(_segments(spark, sf_dir), "c_nationkey", types=["heading", "text"])
+    tree = R.nodes(_segments(spark, sf_dir), "c_nationkey", types=["heading"])
     return R.heading_slugs(tree, "c_nationkey").select("c_nationkey", "slug")
 
 
@@ -160,7 +160,7 @@ def md_tight_loose(spark, sf_dir):
 @_query("select o_custkey, o_orderstatus = 'F' as checked, 'order ' || o_orderkey || ' of ' || o_orderpriority as text from orders")
 def md_task_items(spark, sf_dir):
     docs = _sql(spark, sf_dir, f"""select o_custkey, {_joined('o_orderkey', "concat(if(o_orderstatus = 'F', '- [x] ', '- [ ] '), 'order ', o_orderkey, ' of ', o_orderpriority)")} as text from {{orders}} group by o_custkey""", "orders")
-    return R.tasks(R.nodes(docs, "o_custkey", options=Options.gfm()), "o_custkey").select("o_custkey", "checked", "text")
+    return R.tasks(R.nodes(docs, "o_custkey", options=Options.gfm(), types=["listItem"]), "o_custkey").select("o_custkey", "checked", "text")
 
 
 @_query("select event_id, event_type as lang, 'user=' || user_id as meta, props as value from events")
@@ -206,7 +206,7 @@ def _nation_table(spark, sf_dir):
     union all select n_regionkey, row_number() over (partition by n_regionkey order by n_nationkey), 0, 'right', n_nationkey::varchar from nation
     union all select n_regionkey, row_number() over (partition by n_regionkey order by n_nationkey), 1, 'left', n_name from nation)""")
 def md_table_cells(spark, sf_dir):
-    tree = R.nodes(_nation_table(spark, sf_dir), "r_regionkey", options=Options.gfm())
+    tree = R.nodes(_nation_table(spark, sf_dir), "r_regionkey", options=Options.gfm(), types=["tableRow"])
     return R.table_cells(tree, "r_regionkey").select("r_regionkey", "row", "column", "align", "text")
 
 
@@ -536,6 +536,27 @@ def md_render_documents(spark, sf_dir):
     return R.render_html(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+@_query("""select doc_id, length(text)::bigint as n_chars, case when regexp_matches(text, '(^|\\n)[ \\t]*([#>~+=*_|-]|[0-9]{1,9}[.)])|(^|\\n)( {4}| {0,3}\\t)|  (\\n|$)|[`\\[]|[*_][^ \\t\\n*_]|&[#A-Za-z]|<[A-Za-z/!?]|\\\\[!-/:-@\\[-`{-~\\n]')
+    then length(text) else 0 end::bigint as kernel_chars from documents""")
+def md_routing(spark, sf_dir):
+    """What of each document goes to Python; no document has a blank line, so each goes whole or not at all."""
+    return R.routing(table(spark, sf_dir, "documents"))
+
+
+@_query("""select p_partkey, '<p>' || p_name || ' &amp; more</p>' || chr(10) || '<ul>' || chr(10) || '<li>' || chr(10) || '<p>' || p_brand || '</p>' || chr(10) || '<p>still</p>' || chr(10) || '</li>' || chr(10) || '</ul>' || chr(10)
+    || '<p>2024 ' || p_type || chr(10) || 'in two lines!</p>' || chr(10) || '<h2>' || p_size || '</h2>' || chr(10) as html, (length(p_brand) + length(p_size::varchar) + 17)::bigint as kernel_chars from part""")
+def md_routed_parts(spark, sf_dir):
+    """Plain parts beside marked ones: only a list and a heading go to the kernel."""
+    docs = _one(r"concat(p_name, ' & more\n\n- ', p_brand, '\n\n  still\n\n\n2024 ', p_type, '\nin two lines!\n\n## ', p_size)", "part", "p_partkey")(spark, sf_dir)
+    return R.render_html(docs, "p_partkey").join(R.routing(docs, "p_partkey").select("p_partkey", "kernel_chars"), "p_partkey")
+
+
+@_query("""select s_suppkey, 'ασ ' || lower(s_name) || ' ss' as label from supplier""")
+def md_label_keys(spark, sf_dir):
+    """Labels as references compare them: no rule for a word's last sigma, any white space, sharp s in both cases."""
+    return table(spark, sf_dir, "supplier").select("s_suppkey", M.label_key(F.concat(F.lit(" ΑΣ\u00a0\n"), F.col("s_name"), F.lit("\t ẞ "))).alias("label"))
+
+
 @_query()
 def md_node_types(spark, sf_dir):
     """Nodes by language and type, with totals (rollup), under all extensions."""

@@ -1,6 +1,7 @@
 """Every query with SQL gives the rows that DuckDB gives; the rest run and agree with other routes."""
 
 import math
+import random
 import time
 from collections import Counter
 from pathlib import Path
@@ -48,6 +49,28 @@ def test_plain_route_equals_kernel(spark):
     assert both.where("html <> whole").count() == 0 and both.count() == docs.count()
 
 
+def test_routed_parts_equal_kernel(spark):
+    """Documents of parts that reach over blank lines and parts that don't, cut and put together again."""
+    draw = random.Random(11)
+    parts = ["plain text\n", "two\nlines\n", " one blank\n", "  two\n", "    code\n", "- item\n", "  more of it\n", "1. one\n", "12) x\n", "2020 was\n", "> quote\n", "# head\n", "head\n===\n", "***\n", "*em* x\n", "a * b ** c\n", "x_y_z\n", "!!! &&& <3 a]b\n",
+             "&amp; &x\n", "[l](/u) ![i](/j)\n", "[r]\n", "[r]: /u\n", "```\n", "~~~ py\n", "<div>\n", "<b>x</b>\n", "<!-- c\n", "-->\n", "<script>\n", "<pre>\n", "`c`\n", "a\\\nb\n", "a\\b\n", "end  \n", "\ttab\n", "\n", "\n", "\n\n", " \n", "\t\n\n", "| a |\n|---|\n"]
+    calm = [p for p in parts if not p.startswith(("`", "~", "<!", "<s", "<p", "[r]:"))] + ["\n", "\n"] * 8
+    rows = [(k, "".join(draw.choices(calm if k % 2 else parts, k=draw.randrange(1, 12))).removesuffix(draw.choice(["", "\n"]))) for k in range(4000)] + [(-1, None), (-2, ""), (-3, "\x01a\n\n*b*"), (-4, "x" * 200_000 + "\n\n*y*")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    both = R.render_html(docs).join(docs.select("doc_id", "text", M.md_to_html(F.col("text")).alias("whole")), "doc_id")
+    assert [r for r in both.where("not html <=> whole").take(3)] == [] and both.count() == len(rows)
+    sent = R.routing(docs).agg(F.sum("kernel_chars"), F.sum("n_chars"), F.count_if(F.expr("kernel_chars > 0 and kernel_chars < n_chars"))).first()
+    assert sent[0] < sent[1] and sent[2] > 300
+
+
+def test_label_keys(spark):
+    labels = ["ΑΣ", "Α\u00a0 Σ ", "ẞ ß SS", " a\n\tB ", None]
+    from quillmark.kernel.chars import label_key
+
+    found = spark.createDataFrame([(x,) for x in labels], "label string").select(M.label_key(F.col("label"))).collect()
+    assert [r[0] for r in found] == [None if x is None else label_key(x) for x in labels] and found[0][0] == "ασ" and found[1][0] == "α σ" and found[2][0] == "ss ss ss"
+
+
 def test_node_table_of_null_and_empty_texts(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "# a", "x")], "doc_id long, text string, type string")
     assert {(r.doc_id, r.type) for r in R.nodes(docs).collect()} == {(2, "root"), (3, "root"), (3, "heading"), (3, "text")}
@@ -60,7 +83,7 @@ def test_filters_reach_the_scan(spark):
 
 
 RELATIONS = [n for n in plans.QUERIES if n not in ("md_language_summary", "md_escape", "md_tagfilter", "md_line_table", "md_frontmatter", "md_external_links", "md_mail_candidates", "md_native_helpers",  # without the kernel
-                                             "md_phase_profile")]  # runs each phase by itself to time it, in one MapInArrow (below)
+                                             "md_routing", "md_phase_profile")]  # runs each phase by itself to time it, in one MapInArrow (below)
 
 
 @pytest.mark.parametrize("name", RELATIONS)
