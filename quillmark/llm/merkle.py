@@ -12,17 +12,16 @@ from __future__ import annotations
 from hashlib import sha256
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, frugal
+from .common import Scratch, frugal, ranked
 
 ARITY = 3
 #: Levels of a block: it has ARITY ** BLOCK_LEVELS nodes at most.
 BLOCK_LEVELS = 7
 #: Levels of one subtree that a traversal keeps whole.
 STACKED_LEVELS = 3
-_PART_BITS = 33  # of monotonically_increasing_id, for a row's number in its partition
 
 
 def run_digest(nodes: list[bytes]) -> bytes:
@@ -146,24 +145,6 @@ def leaf_digest(*values: Column) -> Column:
     return F.unhex(F.sha2(F.concat(*[field(v) for v in values]), 256))
 
 
-def ranked(rows: DataFrame, tree: list[str], order: list[str], scratch: Scratch) -> DataFrame:
-    """``rows`` as a table with ``rank`` and ``n``: the row's number in its tree by ``order``, and the tree's rows.
-
-    Rows are sorted in ranges; each range's rows of a tree are numbered from what the ranges before it hold.
-    """
-    by = [F.col(c).asc_nulls_first() for c in [*tree, *order]]
-    laid = scratch.table(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", _PART_BITS)
-    pieces = laid.groupBy(*tree, part.alias("_part")).agg(F.min("_at").alias("_low"), F.count(F.lit(1)).alias("_rows"))
-    whole = Window.partitionBy(*tree)  # a row for each tree and task that has some of it
-    before = F.sum("_rows").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    pieces = pieces.select(*[F.col(c).alias(f"_{c}") for c in tree], F.col("_part"), (F.coalesce(before, F.lit(0)) - F.col("_low")).alias("_shift"), F.sum("_rows").over(whole).alias("n"))
-    same = part == F.col("_part")
-    for c in tree:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return laid.join(pieces, same).select(*rows.columns, (F.col("_at") + F.col("_shift")).alias("rank"), "n")
-
-
 def _roots(nodes: DataFrame, tree_type: str, levels: int) -> DataFrame:
     """``tree, rank, n, node`` (binary) of the next tier: a node for each block of ``nodes``."""
     width = ARITY**levels

@@ -17,6 +17,8 @@ from .common import Scratch
 SHARDS = 16
 #: How far the bytes below a splitter may be from their share, as a part of a shard's bytes.
 TOLERANCE = 0.002
+#: The same for a splitter that would part a group of equal texts: it goes to the group's nearer end, if that is no farther.
+GROUP_TOLERANCE = 0.01
 #: Bins that one round counts at most (and 2 for each splitter still open, if that is more).
 ROUND_BINS = 1 << 16
 _PART_BITS = 33  # of monotonically_increasing_id, for a row's number in its partition
@@ -47,8 +49,9 @@ def _prefix(bits: int) -> tuple[Column, Column]:
 def find_splitters(keyed: DataFrame, parts: int, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
     """For each of ``parts - 1`` boundaries: the 128-bit key it stands at, and the rows below it.
 
-    ``keyed`` has _k1, _k2, _size. A boundary is moved within a group of equal texts only if the group
-    is larger than the tolerance; rows with one id and text can't be parted.
+    ``keyed`` has _k1, _k2, _size. A boundary stands within a group of equal texts only if both ends of the group are
+    farther than GROUP_TOLERANCE of a shard and than the largest row is long (rows aren't parted, so shards differ by as much anyway);
+    rows with one id and text can't be parted.
     """
     unsigned = lambda v: v & ((1 << 64) - 1)
     found: dict[int, tuple[int, int]] = {}
@@ -66,7 +69,7 @@ def find_splitters(keyed: DataFrame, parts: int, tolerance: float = TOLERANCE) -
             signed = lambda v: v - (1 << 64) if v >= 1 << 63 else v
             inside = keyed.sparkSession.createDataFrame([(signed(a), signed(b)) for a, b in pairs], "q1 long, q2 long")  # a row for each open splitter
             rows = rows.join(F.broadcast(inside), (q1 == F.col("q1")) & (q2 == F.col("q2")), "left_semi")
-        counted = rows.groupBy(p1, p2).agg(F.sum("_size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()
+        counted = rows.groupBy(p1, p2).agg(F.sum("_size").alias("bytes"), F.count(F.lit(1)).alias("rows"), F.max("_size").alias("most")).collect()
         extra = max(0, bits + more - 64)
         bins: dict[int, list[tuple[int, int, int]]] = {}
         for r in counted:
@@ -74,9 +77,11 @@ def find_splitters(keyed: DataFrame, parts: int, tolerance: float = TOLERANCE) -
             bins.setdefault(prefix >> more, []).append((prefix, r["bytes"], r["rows"]))
         if total is None:
             total = sum(b for _, b, _ in bins.get(0, []))
+            largest = max((r["most"] for r in counted), default=0)
         next_wanted: dict[int, list[int]] = {}
         next_base: dict[int, tuple[int, int]] = {}
-        slack = tolerance * total / parts
+        # A bin of the first 64 bits is one text's.
+        slack = max(GROUP_TOLERANCE * total / parts, largest) if bits + more == 64 else tolerance * total / parts
         for parent, targets in wanted.items():
             below, n = base[parent]
             todo = iter(targets)

@@ -118,6 +118,24 @@ def test_shards(spark, docs):
         assert sorted(r.slot for r in part) == list(range(len(part)))
 
 
+def test_equal_texts_share_a_shard(spark):
+    """Each splitter is held against all places where it could stand: it is within the tolerance, or at the nearer end of a large text."""
+    sf = SF.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    copies = docs + [d for d in docs if d.doc_id % 10 == 3 for _ in range(4)]
+    table = spark.createDataFrame([(k, d.text, d.lang, d.source, d.n_chars) for k, d in enumerate(copies)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = sharding.stage(spark, table.repartition(3), sf).select("text", "shard").collect()
+    size = lambda t: len((t or "").encode()) + 1
+    share = sum(size(r.text) for r in rows) / sharding.SHARDS
+    shards, texts = Counter(), {}
+    for r in rows:
+        shards[r.shard] += size(r.text)
+        texts.setdefault(r.text, []).append(r.shard)
+    split = [t for t, found in texts.items() if len(set(found)) > 1]
+    assert all(size(t) * len(texts[t]) > 2 * max(sharding.GROUP_TOLERANCE * share, *(size(r.text) for r in rows)) for t in split)
+    assert len(shards) == sharding.SHARDS and all(abs(n - share) <= 2 * (sharding.GROUP_TOLERANCE * share + max(size(r.text) for r in rows)) for n in shards.values())
+
+
 def test_mixing_is_bounded_and_repeats(spark):
     first, again = (sorted(map(tuple, QUERIES["op4_mixing"](spark, SF).collect())) for _ in range(2))
     assert first == again and all(taken <= 2 * size for _, size, _, _, taken in first)
