@@ -3,7 +3,8 @@
 Tokens are added up per source, the sources' targets follow from their weights, and a source's rate
 is target / tokens. A document is emitted floor(rate) times, plus one copy if its hash falls below
 the rate's fraction (a Bernoulli draw seeded by the hash, so reruns agree). The hash is of the id and the text;
-rows that are equal in both also have their place in the table in it, so that they are drawn apart.
+rows that are equal in both are numbered by a digest of all their columns, and the hash has this number too, so that they are
+drawn apart, however the table's files are laid out.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Bitmap, Scratch, word_count
+from .common import Bitmap, Scratch, ranked, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -64,7 +65,7 @@ def mix(docs: DataFrame, size: Column, doc_id: str = "doc_id", source: str = "so
 
     Sizes of null texts are 0. A source of size 0 has target 0 and none of its documents is taken; a null source
     is a source. Rows with one id but other texts, null ids included, are drawn apart, and so are rows equal in
-    both, by their places. A table without rows gives none. Texts of any length count whole.
+    both, by their numbers. A table without rows gives none. Texts of any length count whole.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
@@ -76,8 +77,11 @@ def mix(docs: DataFrame, size: Column, doc_id: str = "doc_id", source: str = "so
     if (targets.agg(F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + 32)).first()[0] or 0) <= BROADCAST_BYTES:
         right = F.broadcast(right)
     repeated = Bitmap(thin.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key")
-    place = F.when(repeated.may_hold(F.col("key")), F.col("at")).otherwise(F.lit(0))
-    sized = sized.withColumn("at", F.monotonically_increasing_id()).withColumn("place", place)
+    # The filter lets some rows pass that have no equal: these are number 0 like the rows it holds back.
+    sized = sized.withColumn("again", repeated.may_hold(F.col("key")))
+    equal = sized.where("again").select("row", "size", "source", "key", F.xxhash64(F.to_json("row")).alias("digest"))
+    equal = ranked(equal, ["key"], ["digest"], scratch).select("row", "size", "source", F.col("rank").alias("place"))
+    sized = sized.where("not again").select("row", "size", "source", F.lit(0).cast("long").alias("place")).union(equal)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate).cast("long")
     copies = whole + (draw(F.col(f"row.`{doc_id}`"), F.col(f"row.`{text}`"), F.col("place")) < rate - whole).cast("long")

@@ -67,6 +67,17 @@ def test_rule_order_follows_rejection_per_cost():
     assert [r.name for r in order[:2]] == ["shouts", "symbols"]
 
 
+def test_mixing_agrees_over_other_files(spark):
+    """Many rows equal in id and text, over sources whose rates have fractions, laid out in three ways."""
+    rows = [(k % 3, f"text {k % 4}", "en", ("a", "b", "c", None)[k % 4 if k % 7 else 1], k % 5) for k in range(900)] + [(1000 + k, f"one {k}", "en", "b", 0) for k in range(50)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = [counted(mixing.mix(d, F.lit(2).cast("long")).select("row.*", "copies").collect()) for d in (docs.coalesce(1), docs.repartition(5), docs.orderBy(F.desc("n_chars"), F.rand(3)))]
+    assert found[0] == found[1] == found[2] and found[0].total() == len(rows)
+    taken = [sum(n * int(r[-1]) for r, n in found[0].items() if r[3] == s) for s in ("a", "b", "c", "None")]
+    sizes = [sum(r[3] == s for r in rows) for s in ("a", "b", "c", None)]
+    assert all(0 < t <= 2 * n for t, n in zip(taken, sizes))
+
+
 def test_mixing_near_targets_with_null_and_repeated_ids(spark):
     sources = [F.lit(None), F.lit(7), F.col("id")]
     for doc_id in sources:

@@ -22,6 +22,8 @@ from quillmark.llm.html_extraction import HINTED, MAIN, MIN_PAGES, OPEN, RUN, SH
     ("<nav>only</nav>", [(OPEN, "only")]),
     ("<article><section class='related-work'>a</section><div id='social-history'>b</div><div class='header'>c<p>d</p></div><p>e</p></article>", [(MAIN, "a"), (MAIN, "b"), (HINTED, "c"), (HINTED, "d"), (MAIN, "e")]),
     ("<article><p>a</p><div class='ad'>b</div><p class='notice'>c</p></article>", [(MAIN, "a"), (SHELL_BLOCK, "b"), (SHELL_BLOCK, "c")]),
+    ("<article><h1 id='how-cookies-work'>How cookies work</h1><p>Body text.</p><h2 id='notice'>Notice</h2><p>More.</p></article>", [(MAIN, "How cookies work"), (MAIN, "Body text."), (MAIN, "Notice"), (MAIN, "More.")]),
+    ("<main><section id='comments-on-theory'><h3 class='login'>a</h3></section><div id='login'>b</div><div class='cookie-theory'>c</div></main>", [(HINTED, "a"), (HINTED, "b"), (HINTED, "c")]),
 ])
 def test_what_markup_decides(source, found):
     assert page_blocks(source) == found
