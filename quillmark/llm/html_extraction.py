@@ -46,7 +46,8 @@ PART_WORDS = "adv advert adverts advertisement advertising adsense sponsored nav
 MODIFIERS = ("has", "is", "no", "not", "with", "without")
 #: Shells in which an article is a comment.
 COMMENT_WORDS = "comment comments comment-body comment-list comments-area reply replies disqus respond".split()
-#: Words of shells that inside main text may name a part of it (its heading, a section on related work): they only hint.
+#: Words of shells that inside main text may name a part of it (its heading, a section on related work): they only hint,
+#: and so do there all words of an id, which is often made from a heading, and parts of a class.
 HINTS = "header related social search skip".split()
 SHELL_ROLES = ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "form")
 MAIN_WORDS = ("article article-body article-content post-content entry-content post-body content-body story-body main-content").split()
@@ -63,6 +64,7 @@ _IN_BLOCKS, _IN_VOID, _IN_RAW, _IN_SHELL = frozenset(BLOCKS), frozenset(VOID), f
 _SHELL_SET, _ROLE_SET, _MAIN_SET = frozenset(SHELL_WORDS), frozenset(SHELL_ROLES), frozenset(MAIN_WORDS)
 _HINT_SET, _SHELL_IN_MAIN = frozenset(HINTS), _SHELL_SET - frozenset(HINTS)
 _PART_SET, _COMMENT_SET, _IN_NO_TEXT = frozenset(PART_WORDS), frozenset(COMMENT_WORDS), frozenset(NO_TEXT)
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 MAIN, OPEN, SHELL_BLOCK, HINTED = 0, 1, 2, 3
 #: While parsing only: a shell in which an article is not main text, a form, an element without text.
 _FIRM, _FORM, _NONE = 4, 5, 6
@@ -88,17 +90,21 @@ def _kind(tag: str, source: str, in_main: bool) -> int | None:
         found = MAIN
     if source and not source.isspace():
         at = _attributes(source)
-        words = {w for w in (at.get("class", "") + " " + at.get("id", "")).lower().split()}
+        classes, ids = set(at.get("class", "").lower().split()), set(at.get("id", "").lower().split())
+        words = classes | ids
         parts = {p for w in words for p in re.split(r"[-_]+", w) if re.split(r"[-_]+", w)[0] not in MODIFIERS}
         if "hidden" in at or at.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", at.get("style", "")):
             return _FIRM
-        if tag != "body" and tag != "html" and tag != "main" and (words & _COMMENT_SET or "comments" in parts):
+        if in_main and tag in _HEADINGS:  # named by their words, and so are their ids
+            return found
+        if tag != "body" and tag != "html" and tag != "main" and (words & _COMMENT_SET or not in_main and "comments" in parts):
             return _FIRM
-        if at.get("role", "").lower() in _ROLE_SET or (tag not in ("body", "html", "article", "main") and (words & (_SHELL_IN_MAIN if in_main else _SHELL_SET) or parts & _PART_SET)):
+        shell = classes & _SHELL_IN_MAIN if in_main else words & _SHELL_SET or parts & _PART_SET
+        if at.get("role", "").lower() in _ROLE_SET or (tag not in ("body", "html", "article", "main") and shell):
             return SHELL_BLOCK
         if at.get("role", "").lower() == "main" or words & _MAIN_SET:
             found = MAIN
-        elif in_main and tag not in ("article", "main") and words & _HINT_SET:
+        elif in_main and tag not in ("article", "main") and (words & _HINT_SET or ids & _SHELL_SET or parts & _PART_SET):
             found = HINTED
     return found
 
