@@ -10,6 +10,7 @@ from collections.abc import Callable, Collection
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,8 +147,32 @@ def decoded(text: Column) -> Column:
     return F.arrow_udf(_strings(decode_references), T.StringType())(text)
 
 
+_BLOCK_COLUMNS = ("node_id", "parent_id", "ordinal", "depth_in_tree", "subtree_end", "type", "depth", "value", "lang", "start_line", "end_line")
+
+
+def blocks_table_function(key: str = "doc_id bigint", options: Options = Options()):
+    """A table function of a table: its first column is the key (name and type as given), its second the text; one row for each block.
+
+    It takes and gives whole Arrow batches, and needs no exchange: ``select * from f(table(select doc_id, text from d))``.
+    """
+    flags = options.flags
+
+    class Blocks:
+        def eval(self, batch: pa.RecordBatch):
+            trees = nodes_array(batch.column(1).to_pylist(), Options.from_flags(flags), None, False, True)
+            nodes = trees.flatten()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pc.list_parent_indices(trees)), *(nodes.field(n) for n in _BLOCK_COLUMNS)], [key.split()[0], *_BLOCK_COLUMNS])
+
+    kinds = ", ".join(f"{n} {_SPARK[_ARROW.field(n).type].simpleString()}" for n in _BLOCK_COLUMNS)
+    return F.arrow_udtf(Blocks, returnType=f"{key}, {kinds}")
+
+
 def blocks_function(options: Options = Options()):
-    """A table function: one row for each block of a text (null: none), with its lines."""
+    """A table function for lateral joins: one row for each block of a text (null: none), with its lines.
+
+    Spark takes no Arrow function there, so it goes row by row; :func:`blocks_table_function` takes tables in batches.
+    """
     flags = options.flags
 
     class Blocks:
@@ -164,7 +189,7 @@ def blocks_function(options: Options = Options()):
 
 
 def register(spark: SparkSession, options: Options = Options(), prefix: str = "md_") -> None:
-    """SQL functions ``md_to_html``, ``md_to_unified_html``, ``md_to_json``, ``md_nodes`` and, for ``lateral``, ``md_blocks``."""
+    """SQL functions ``md_to_html``, ``md_to_unified_html``, ``md_to_json``, ``md_nodes``, for ``lateral`` ``md_blocks``, and for ``table(...)`` of doc_id and text ``md_block_table``."""
     flags = options.flags
     convert = {
         "to_html": lambda t: _renderer(flags).render(t),
@@ -179,3 +204,4 @@ def register(spark: SparkSession, options: Options = Options(), prefix: str = "m
 
     spark.udf.register(prefix + "nodes", F.arrow_udf(nodes, T.ArrayType(NODE)))
     spark.udtf.register(prefix + "blocks", blocks_function(options))
+    spark.udtf.register(prefix + "block_table", blocks_table_function(options=options))

@@ -482,11 +482,11 @@ def md_page_html_blocks(spark, sf_dir):
     {'type': 'root', 'line': 1, 'value': null}, {'type': 'heading', 'line': 1, 'value': null}, {'type': 'list', 'line': 3, 'value': null}, {'type': 'listItem', 'line': 3, 'value': null},
     {'type': 'paragraph', 'line': 3, 'value': null}, {'type': 'code', 'line': 5, 'value': p_type}]) as x from part)""")
 def md_table_function(spark, sf_dir):
-    """Blocks by the table function, in a lateral join."""
-    spark.udtf.register("md_blocks", M.blocks_function())
+    """Blocks by the table function of a table, in Arrow batches."""
+    spark.udtf.register("md_part_blocks", M.blocks_table_function("p_partkey bigint"))
     text = r"concat('# ', p_name, '\n\n- ', p_brand, '\n\n```\n', p_type, '\n```')"
     docs = _one(text, "part", "p_partkey")(spark, sf_dir)
-    return spark.sql("select p_partkey, type, start_line, value from {docs}, lateral md_blocks(text)", docs=docs)
+    return spark.sql("select p_partkey, type, start_line, value from md_part_blocks(table({docs}))", docs=docs)
 
 
 _CRLF = _one(r"concat('# ', p_name, '\r\n', p_brand, '\r\r\n', p_type)", "part", "p_partkey")

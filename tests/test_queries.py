@@ -154,6 +154,9 @@ def test_table_function_of_null_and_empty_texts(spark):
     M.register(spark, prefix="t_")
     found = spark.sql("select k, b.type from values (1, null), (2, ''), (3, 'a') as d(k, text), lateral t_blocks(text) b").collect()
     assert {tuple(r) for r in found} == {(2, "root"), (3, "root"), (3, "paragraph")}
+    rows = spark.sql("select doc_id, type, parent_id, end_line from t_block_table(table(select k, text from values (1l, null), (2l, ''), (3l, 'a\n\n# b'), (null, 'c') as d(k, text)))").collect()
+    assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, [(2, "root", None, 1), (3, "root", None, 3), (3, "paragraph", 0, 1), (3, "heading", 0, 3), (None, "root", None, 1), (None, "paragraph", 0, 1)]))
+    assert spark.sql("select * from t_block_table(table(select id, 'x' as text from range(0)))").count() == 0
 
 
 def test_references_and_line_ends(spark):
