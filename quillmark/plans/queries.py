@@ -525,9 +525,10 @@ def md_json(spark, sf_dir):
     return _one("concat('## ', s_name)", "supplier", "s_suppkey")(spark, sf_dir).select("s_suppkey", M.md_to_json(F.col("text")).alias("json"))
 
 
-@_query("select p_partkey, 18::bigint as n_nodes from part")
+@_query("select l_orderkey, (2 + 3 * count(*))::bigint as n_nodes from lineitem group by l_orderkey")
 def md_node_count(spark, sf_dir):
-    return R.node_counts(R.nodes(_part_page(spark, sf_dir), "p_partkey"), "p_partkey")
+    """A root, a list, and an item, a paragraph and a text for each line of an order."""
+    return R.node_counts(R.nodes(_order_lists(spark, sf_dir), "l_orderkey"), "l_orderkey")
 
 
 @_query()

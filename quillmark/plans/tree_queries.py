@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import operators as R
+from ..options import Options
 from .queries import FULL, _joined, _one, _order_lists, _query, _sql
 
 _linked_part = _one(r"concat('# ', p_name, '\n\n[*', p_brand, '*][r] ![', p_type, '][R] [r][] [r] [kept]\n\n[r]: /part/', p_partkey, ' \"', p_type, '\"\n[kept]: /k\n[r]: /second\n')", "part", "p_partkey")
@@ -114,3 +115,29 @@ def md_pruned_items(spark, sf_dir):
     kept = R.drop_subtrees(_says(tree, "l_orderkey"), gone, "l_orderkey")
     item = F.col("type") == "listItem"
     return kept.groupBy("l_orderkey").agg(F.count_if(item).alias("n_items"), F.max(F.when(item, F.col("ordinal"))).cast("long").alias("last_ordinal"), (F.max("subtree_end") + 1).cast("long").alias("n_nodes"))
+
+
+@_query("""select p_partkey, '<p>see ★' || p_size || ' and :☆, <code>:size_' || p_size || ':</code> :none: ★' || p_size || 'x:size_0:</p>' as html from part where p_size > 0""")
+def md_dictionary_shortcodes(spark, sf_dir):
+    """Shortcodes of a dictionary that a table holds; code is left alone, and colons that two names share count once."""
+    docs = _one(r"concat('see :size_', p_size, ': and ::other:, `:size_', p_size, ':` :none: :size_', p_size, ':x:size_0:')", "part", "p_partkey")(spark, sf_dir)
+    names = _sql(spark, sf_dir, "select distinct concat('size_', p_size) as name, concat('★', p_size) as symbol from {part} where p_size > 0 union all select 'other', '☆'", "part")
+    tree = R.nodes(docs, "p_partkey")
+    return R.nodes_to_html(R.replace_shortcodes(tree, names, "p_partkey"), "p_partkey")
+
+
+@_query("""select p_partkey, x.type as type, x.l1::int as start_line, x.c1::int as start_column, x.o1::int as start_offset, x.l2::int as end_line, x.c2::int as end_column, x.o2::int as end_offset from (
+    select p_partkey, unnest([
+      {'type': 'blockquote', 'l1': 1, 'c1': 1, 'o1': 0, 'l2': 2, 'c2': b + 5, 'o2': n + b + 7},
+      {'type': 'emphasis', 'l1': 2, 'c1': 3, 'o1': n + 5, 'l2': 2, 'c2': b + 5, 'o2': n + b + 7},
+      {'type': 'list', 'l1': 4, 'c1': 1, 'o1': n + b + 9, 'l2': 7, 'c2': 9, 'o2': n + b + t + 27},
+      {'type': 'inlineCode', 'l1': 5, 'c1': 3, 'o1': n + b + t + 14, 'l2': 5, 'c2': 6, 'o2': n + b + t + 17},
+      {'type': 'html', 'l1': 7, 'c1': 3, 'o1': n + b + t + 21, 'l2': 7, 'c2': 9, 'o2': n + b + t + 27},
+      {'type': 'tableCell', 'l1': 9, 'c1': 1, 'o1': n + b + t + 29, 'l2': 9, 'c2': 5, 'o2': n + b + t + 33},
+      {'type': 'tableCell', 'l1': 9, 'c1': 5, 'o1': n + b + t + 33, 'l2': 9, 'c2': b + 9, 'o2': n + 2 * b + t + 37}]) as x
+    from (select p_partkey, length(p_name) as n, length(p_brand) as b, length(p_type) as t from part))""")
+def md_container_points(spark, sf_dir):
+    """Places behind stripped prefixes: a quote's second line, a list item's, a block of HTML in an item, a table's cells."""
+    docs = _one(r"concat('> ', p_name, '\n> *', p_brand, '*\n\n- ', p_type, '\n  `c`\n\n  <!--->\n\n| a | ', p_brand, ' |\n|---|---|\n')", "part", "p_partkey")(spark, sf_dir)
+    tree = R.nodes(docs, "p_partkey", options=Options.gfm(), types=["blockquote", "emphasis", "list", "inlineCode", "html", "tableCell"], positions=True)
+    return tree.select("p_partkey", "type", "start_line", "start_column", "start_offset", "end_line", "end_column", "end_offset")

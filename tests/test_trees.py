@@ -141,6 +141,30 @@ def test_ancestors_by_plain_loops(spark, docs):
     assert below == pairs
 
 
+def test_shortcodes_by_a_plain_loop(spark):
+    """Against a scan from left to right, over texts of colons and names, known and unknown."""
+    draw = random.Random(2)
+    known = {"a": "A", "b": "B☆", "long_name+1": "L"}
+    texts = ["".join(draw.choices([":", ":", "a", "b", "c", "long_name+1", " ", "::", ":a:"], k=draw.randrange(1, 12))) for _ in range(400)]
+
+    def scanned(text):
+        out, at = "", 0
+        while at < len(text):
+            end = text.find(":", at + 1)
+            if text[at] == ":" and end > 0 and text[at + 1 : end] in known:
+                out, at = out + known[text[at + 1 : end]], end + 1
+            else:
+                out, at = out + text[at], at + 1
+        return out
+
+    rows = [(k, "text", t, 0, None) for k, t in enumerate(texts)] + [(900, "inlineCode", ":a:", 1, 5), (901, "root", None, 1, 6), (902, "text", "", 0, None)]
+    tree = spark.createDataFrame(rows, "doc_id long, type string, value string, node_id int, _last int")
+    names = spark.createDataFrame([(*kv,) for kv in known.items()] + [("a", "B"), ("", "E"), (None, "N"), ("c", None)], "name string, symbol string")
+    found = {r.doc_id: r.value for r in R.replace_shortcodes(tree.drop("_last"), names).collect()}
+    assert found == {k: scanned(t) for k, t in enumerate(texts)} | {900: ":a:", 901: None, 902: ""}
+    assert R.replace_shortcodes(tree.drop("_last"), names.limit(0)).count() == len(rows)
+
+
 def test_a_deep_document_is_linear(spark):
     """10^5 nodes in each other, as rows made by Spark: the nearest one above each is the one before it."""
     n = 100_000
