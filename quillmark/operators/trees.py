@@ -7,7 +7,7 @@ operator takes one exchange by document and reads its table once.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -22,23 +22,28 @@ def _by_document(rows: DataFrame, key: str, *order: Column) -> DataFrame:
 
 
 def _pass(rows: DataFrame, key: str, inputs: list[str], outputs: dict[str, str], start: Callable[[], Callable]) -> DataFrame:
-    """``rows`` with columns that a function of ``inputs`` gives, row by row; ``start`` makes one for each document."""
-    kinds = {"int": pa.int32(), "long": pa.int64()}
+    """``rows`` with columns that a function of ``inputs`` gives, row by row; ``start`` makes one for each document.
 
-    def run(batches):
+    Only the key and the inputs go to Python, as an iterator over a partition's batches, which keeps its state; the other columns
+    wait in the JVM. As the order matters, the function counts as not deterministic, so no sort below it is dropped.
+    """
+    kinds = pa.struct([(n, pa.int32()) for n in outputs])
+
+    def tree_pass(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         now, step = None, None
-        for batch in batches:
+        for docs, *columns in batches:
             found = []
-            for doc, *values in zip(batch.column(key).to_pylist(), *(batch.column(c).to_pylist() for c in inputs)):
+            for doc, *values in zip(docs.to_pylist(), *(c.to_pylist() for c in columns)):
                 if step is None or doc != now:
                     now, step = doc, start()
                 found.append(step(*values))
-            for (name, kind), values in zip(outputs.items(), zip(*found) if found else [()] * len(outputs)):
-                batch = batch.append_column(name, pa.array(values, kinds[kind]))
-            yield batch
+            lists = zip(*found) if found else [()] * len(outputs)
+            yield pa.StructArray.from_arrays([pa.array(v, pa.int32()) for v in lists], fields=list(kinds))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + "".join(f", `{n}` {k}" for n, k in outputs.items())
-    return rows.mapInArrow(run, schema)
+    schema = "struct<" + ", ".join(f"`{n}`: {k}" for n, k in outputs.items()) + ">"
+    state = F.arrow_udf(tree_pass, schema).asNondeterministic()
+    made = rows.withColumn("_made", state(F.col(key), *[F.col(c) for c in inputs]))
+    return made.select(*[F.col(f"`{c}`") for c in rows.columns], "_made.*")
 
 
 def nearest_ancestor(tree: DataFrame, ancestors: Column, key: str = "doc_id", name: str = "ancestor_id") -> DataFrame:

@@ -89,7 +89,7 @@ RELATIONS = [n for n in plans.QUERIES if n not in ("md_language_summary", "md_es
 @pytest.mark.parametrize("name", RELATIONS)
 def test_each_relation_parses_once(spark, name):
     plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("ArrowEvalPython") == 1
+    assert sum("ArrowEvalPython" in line and "tree_pass" not in line for line in plan.split("\n")) == 1  # passes over node rows aren't parses
 
 
 def test_phase_profile(spark):
