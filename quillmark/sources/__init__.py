@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .datasource import MarkdownDataSource, register_source
+
+__all__ = ["MarkdownDataSource", "read_markdown", "register_source", "write_json"]
+
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id`` (a hash of the path), ``path``, ``text``: one row per file; bytes that are no UTF-8 become U+FFFD."""

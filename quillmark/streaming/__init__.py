@@ -1,4 +1,4 @@
-"""The kernel on streams: it keeps no state, so a stream of documents is parsed like a table."""
+"""The kernel on streams: it keeps no state, so a stream of documents is parsed like a table; state is for revisions alone."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import nodes
 from ..options import Options
+from .revisions import revision_changes
+
+__all__ = ["read_documents", "revision_changes", "stream_nodes", "windowed_counts"]
 
 
 def read_documents(spark: SparkSession, path: str, schema, files_per_trigger: int = 64) -> DataFrame:
