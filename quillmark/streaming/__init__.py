@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import nodes
 from ..options import Options
+from .replay import replay
 from .revisions import revision_changes
 
-__all__ = ["read_documents", "revision_changes", "stream_nodes", "windowed_counts"]
+__all__ = ["read_documents", "replay", "revision_changes", "stream_nodes", "windowed_counts"]
 
 
 def read_documents(spark: SparkSession, path: str, schema, files_per_trigger: int = 64) -> DataFrame:

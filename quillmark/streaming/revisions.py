@@ -36,45 +36,36 @@ class _Latest(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.latest = handle.getValueState("latest", "at long, tie long")
-        self.nodes = handle.getMapState("nodes", "type string, h long", "n long")
+        self.latest = handle.getValueState("latest", "at long, tie long, nodes array<struct<type:string,h:long,n:long>>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         best = max(rows, key=lambda r: (r["_us"], r["_tie"]))
         at, tie = best["_us"], best["_tie"]
-        old = self.latest.get() if self.latest.exists() else None
+        old = self.latest.get()
         if old is not None and (at, tie) <= (old[0], old[1]):
             return
         fresh = Counter((n["type"], n["h"]) for n in best["_nodes"] or ())
-        added, removed, stored = Counter(), Counter(), set()
-        for k, v in list(self.nodes.iterator()):
-            entry = (k[0], k[1])
-            stored.add(entry)
-            change = fresh[entry] - v[0]
-            (added if change > 0 else removed)[entry[0]] += abs(change)
-            if entry not in fresh:
-                self.nodes.removeKey(entry)
-            elif change:
-                self.nodes.updateValue(entry, (fresh[entry],))
-        for entry, n in fresh.items():
-            if entry not in stored:
-                added[entry[0]] += n
-                self.nodes.updateValue(entry, (n,))
+        known = Counter() if old is None else Counter({(n[0], n[1]): n[2] for n in old[2]})
         if old is not None:
             self.handle.deleteTimer(self._due(old[0]))
         self.handle.registerTimer(self._due(at))
-        self.latest.update((at, tie))
-        yield from self._rows(key, "revision", at, old and old[0], added, removed)
+        self.latest.update((at, tie, [(*entry, n) for entry, n in fresh.items()]))
+        yield from self._rows(key, "revision", at, old and old[0], self._by_type(fresh - known), self._by_type(known - fresh))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if not self.latest.exists():
+        old = self.latest.get()
+        if old is None:
             return
-        at, removed = self.latest.get()[0], Counter()
-        for k, v in self.nodes.iterator():
-            removed[k[0]] += v[0]
-        self.nodes.clear()
         self.latest.clear()
-        yield from self._rows(key, "expired", at + self.expire_ms * 1000, at, Counter(), removed)
+        gone = Counter({(n[0], n[1]): n[2] for n in old[2]})
+        yield from self._rows(key, "expired", old[0] + self.expire_ms * 1000, old[0], Counter(), self._by_type(gone))
+
+    @staticmethod
+    def _by_type(entries: Counter) -> Counter:
+        total: Counter = Counter()
+        for (kind, _), n in entries.items():
+            total[kind] += n
+        return total
 
     def close(self) -> None:
         pass
@@ -83,7 +74,7 @@ class _Latest(StatefulProcessor):
         return at // 1000 + self.expire_ms
 
     def _rows(self, key, event, at, before, added, removed) -> Iterator[Row]:
-        for kind in sorted(k for k in {*added, *removed} if added[k] or removed[k]):
+        for kind in sorted({*added, *removed}):
             yield Row(**{self.key: key[0], "event": event, "at": at, "before": before, "type": kind, "added": added[kind], "removed": removed[kind]})
 
 
@@ -97,8 +88,8 @@ def revision_changes(docs: DataFrame, key: str, time: str, text: str = "text", l
     the nodes of the latest revisions. A node whose content changes counts as one removed and one added. A null text
     deletes the document's nodes; rows without key or time, and rows more than ``late`` behind the stream, are left out.
 
-    Nodes are signed before the exchange, so texts are not shuffled; state is one entry for each distinct node of a
-    document. Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    Nodes are signed before the exchange, so texts are not shuffled; a document's state is one value
+    with type, hash and count of its distinct nodes, read and written once a batch. Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
     """
     kind = docs.schema[key].dataType
     signed = docs.withWatermark(time, late).where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(
