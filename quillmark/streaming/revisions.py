@@ -19,24 +19,31 @@ _CONTENT = ("value", "url", "title", "alt", "lang", "meta", "identifier", "refer
 
 
 def signatures(text, options: Options = Options()):
-    """An array of ``type`` and a hash of the content for each node of a document (null: null)."""
+    """Type and hash of the content of each node of a document, ``type hash`` joined by commas (null: null).
+
+    One string, since each nested value would become a Python object on its way to the state, for every revision.
+    """
 
     def sign(node):
         parts = [F.coalesce(F.to_json(F.struct(node[c])) if c == "cells" else node[c].cast("string"), F.lit("\0")) for c in _CONTENT]
-        return F.struct(node["type"].alias("type"), F.xxhash64(*parts).alias("h"))
+        return F.concat_ws(" ", node["type"], F.xxhash64(*parts).cast("string"))
+
+    return F.array_join(F.transform(md_nodes_array(text, options), sign), ",")
+
 
-    return F.transform(md_nodes_array(text, options), sign)
+def _counted(nodes: str | None) -> Counter:
+    return Counter(nodes.split(",")) if nodes else Counter()
 
 
 class _Latest(StatefulProcessor):
-    """State of a key: time and hash of its latest revision, its timer, and how often each node signature occurs in it."""
+    """State of a key: time and hash of its latest revision and its node signatures; a timer."""
 
     def __init__(self, key: str, expire_ms: int):
         self.key, self.expire_ms = key, expire_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.latest = handle.getValueState("latest", "at long, tie long, nodes array<struct<type:string,h:long,n:long>>")
+        self.latest = handle.getValueState("latest", "at long, tie long, nodes string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         best = max(rows, key=lambda r: (r["_us"], r["_tie"]))
@@ -44,12 +51,11 @@ class _Latest(StatefulProcessor):
         old = self.latest.get()
         if old is not None and (at, tie) <= (old[0], old[1]):
             return
-        fresh = Counter((n["type"], n["h"]) for n in best["_nodes"] or ())
-        known = Counter() if old is None else Counter({(n[0], n[1]): n[2] for n in old[2]})
+        fresh, known = _counted(best["_nodes"]), _counted(old and old[2])
         if old is not None:
             self.handle.deleteTimer(self._due(old[0]))
         self.handle.registerTimer(self._due(at))
-        self.latest.update((at, tie, [(*entry, n) for entry, n in fresh.items()]))
+        self.latest.update((at, tie, best["_nodes"]))
         yield from self._rows(key, "revision", at, old and old[0], self._by_type(fresh - known), self._by_type(known - fresh))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -57,14 +63,13 @@ class _Latest(StatefulProcessor):
         if old is None:
             return
         self.latest.clear()
-        gone = Counter({(n[0], n[1]): n[2] for n in old[2]})
-        yield from self._rows(key, "expired", old[0] + self.expire_ms * 1000, old[0], Counter(), self._by_type(gone))
+        yield from self._rows(key, "expired", old[0] + self.expire_ms * 1000, old[0], Counter(), self._by_type(_counted(old[2])))
 
     @staticmethod
     def _by_type(entries: Counter) -> Counter:
         total: Counter = Counter()
-        for (kind, _), n in entries.items():
-            total[kind] += n
+        for entry, n in entries.items():
+            total[entry.split(" ")[0]] += n
         return total
 
     def close(self) -> None:
@@ -89,7 +94,7 @@ def revision_changes(docs: DataFrame, key: str, time: str, text: str = "text", l
     deletes the document's nodes; rows without key or time, and rows more than ``late`` behind the stream, are left out.
 
     Nodes are signed before the exchange, so texts are not shuffled; a document's state is one value
-    with type, hash and count of its distinct nodes, read and written once a batch. Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    with type and hash of its nodes, read and written once a batch. Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
     """
     kind = docs.schema[key].dataType
     signed = docs.withWatermark(time, late).where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(
