@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import operators as R
 from ..streaming import read_documents, replay, revision_changes
-from .queries import _query, _sql
+from .queries import _query, _sql, spread
 
 
 @_query("""select p_brand, type, count(*) as n_nodes, count(v) as n_values, count(distinct v) as n_distinct, coalesce((max(n) filter (v is not null))::bigint, 0) as most_often from (
@@ -18,7 +18,7 @@ from .queries import _query, _sql
 def md_merged_sketches(spark, sf_dir):
     """Sketches of the nodes of each brand and size, merged to brands: few enough values that distinct and frequency sketches are exact."""
     docs = _sql(spark, sf_dir, r"select p_brand, p_size, concat('# ', p_type, '\n\n[', p_name, '](/size/', p_size, ')\n\n---\n') as text from {part}", "part")
-    tree = R.nodes(docs.select(F.struct("p_brand", "p_size").alias("_k"), "text"), "_k").select("_k.*", "type", "url", "text", "value")
+    tree = R.nodes(spread(docs.select(F.struct("p_brand", "p_size").alias("_k"), "text")), "_k").select("_k.*", "type", "url", "text", "value")
     told = R.estimates(R.merge_sketches(R.sketch_nodes(tree, ["p_brand", "p_size"]), ["p_brand"]), top=1)
     most = F.coalesce(F.element_at(F.transform("most_frequent", lambda m: m["count"]), 1), F.lit(0).cast("long"))
     return told.select("p_brand", "type", "n_nodes", "n_values", "n_distinct", F.when(F.col("n_values") > 0, most).otherwise(0).alias("most_often"))
