@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillmark.operators import nodes
 from quillmark.streaming import revision_changes
+from quillmark.streaming.revisions import _Latest
 
 T0 = datetime(2024, 5, 1, 12)
 STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -61,3 +62,56 @@ def test_documents_expire(run):
     assert {(r.doc, r.type, r.removed) for r in gone} == {("a", "root", 1), ("a", "heading", 1), ("a", "text", 1)}
     assert {r.at for r in gone} == {T0 + timedelta(hours=1)}
     assert [r.before for r in rows if r.doc == "a" and r.event == "revision" and r.at == T0 + timedelta(minutes=202)] == [None] * 3
+
+
+class _Calls:
+    """A bucket's state and timers, with the calls made to them."""
+
+    def __init__(self):
+        self.value, self.timers, self.said = None, set(), []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.said.append("get")
+        return self.value
+
+    def update(self, value):
+        self.said.append("update")
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.said.append("timer")
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+    def getExpiryTimeInMs(self):
+        return self.fired
+
+
+@pytest.mark.parametrize(("plain", "keys"), [(True, list(range(50))), (False, [k / 7 for k in range(49)] + [float("nan")])])
+def test_documents_of_a_bucket_share_calls_to_the_state(plain, keys):
+    """Each call takes a round trip: a batch makes as many for 50 documents as for one; documents expire by themselves all the same."""
+    calls, latest = _Calls(), _Latest("doc", 10, plain)
+    latest.init(calls)
+    rows = lambda us: [{"_key": k, "_us": us + n, "_tie": t, "_nodes": f"root {us},text {t}"} for n, k in enumerate(keys) for t in (1, 2)]
+    first = list(latest.handleInputRows((0,), rows(1_000_000), calls))
+    assert calls.said == ["get", "timer", "update"] and len(first) == 50 and calls.timers == {1010}
+    assert not list(latest.handleInputRows((0,), rows(1_000_000), calls))
+    again = list(latest.handleInputRows((0,), rows(5_000_000)[:4], calls))
+    assert [(r["before"], r["_changes"]) for r in again] == [(1_000_000, "root 1 1"), (1_000_001, "root 1 1")] and calls.timers == {1010}
+    calls.now = calls.fired = 1010
+    gone = list(latest.handleExpiredTimer((0,), calls, calls))
+    assert len(gone) == 48 and all(r["event"] == "expired" and r["_changes"] == "root 0 1,text 0 1" for r in gone)
+    assert calls.timers == {1010, 5010}
+    calls.now = calls.fired = 5010
+    assert len(list(latest.handleExpiredTimer((0,), calls, calls))) == 2 and calls.value is None
