@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from quillmark import operators as R
 from quillmark import plans
 from quillmark.functions import kernel as K
 from quillmark.kernel.shapes import Shapes
+from quillmark.operators.trees import values
 from quillmark.options import Options
 
 PIECES = ["# ", "- ", "  ", "    ", "> ", "\n", "\n\n", "1. ", "10) ", "7", "abc", "A1", "*", "**", "_", "`", "[", "]", "(", ")", "![", "](/u/", '"t x"', "...", ".", "%s 5%", "===", "\n---\n", "* * *",
@@ -42,6 +44,46 @@ def test_shapes_change_no_tree(types, inline):
         assert shapes.columns(text) == table(text), text
 
 
+LABELS = ["[r]: /u\n", "[R]: /v 'T t'\n", "[a b]: b\n", "[A  b]", "[a\nb]", "[r]", "[R][]", "![x][r]", "[*r* x][R]", "[12]: /n\n", "[12]", "[12.]", "word ", "Word ", "r ", "\n\n", "> ", "- ", "[", "]", "]:", ": ", "%s", "[b]: <", "/u", '"q"']
+
+
+def test_labels_have_shapes_and_long_ones_none():
+    draw = random.Random(5)
+    parsed = []
+    table = lambda text: parsed.append(text) or K._table(text, K._builder(0, True), None, True, False)
+    shapes = Shapes(table)
+    for _ in range(4000):
+        text = "".join(draw.choices(LABELS, k=draw.randrange(16)))
+        assert shapes.columns(text) == table(text), text
+    parsed.clear()
+    for k in range(100):
+        columns = shapes.columns(f"# n{k}\n\n[*b{k}*][r] ![t{k}][R] [K{k}]\n\n[r]: /part/{k} 't{k}'\n[K{k}]: /k\n")
+        assert columns["identifier"].count("r") == 3 and columns["identifier"].count(f"k{k}") == 2
+    assert len(parsed) == 1
+    for n in (996, 999, 1000, 1003):
+        for words in ("x" * n, "x " * (n // 2), "x y." * (n // 4)):
+            text = f"[{words}]\n\n[{words}]: /u"
+            assert shapes.columns(text) == table(text)
+
+
+def test_folds_ship_no_nested_columns(spark):
+    """A list that is null made each row as dear as its batch was long. Nulls in maps and lists, their order and quotes stay."""
+    tree = R.nodes(spark.createDataFrame([(1, "| a | b |\n|:--|---|\n| c | d |\n\np")], "doc_id long, text string"), options=Options.gfm())
+    named = tree.withColumn("properties", F.when(F.col("type") == "paragraph", F.create_map(F.lit("z"), F.lit('"é\\'), F.lit("a"), F.lit(None).cast("string"), F.lit("b"), F.lit("1"))))
+    html = R.nodes_to_html(named)
+    shipped = plan_of(html).split("MapInArrow")[1]
+    assert "to_json" in shipped and "properties" in shipped, shipped
+    assert [r.html for r in html.collect()] == ['<table>\n<thead>\n<tr>\n<th align="left">a</th>\n<th>b</th>\n</tr>\n</thead>\n<tbody>\n<tr>\n<td align="left">c</td>\n<td>d</td>\n</tr>\n</tbody>\n</table>\n<p z="&#x22;é\\" b="1">p</p>']
+
+
+def test_values_are_those_of_the_arrays():
+    for kind, some in ((pa.int32(), [1, -2]), (pa.int64(), [2**62 + 1, 0]), (pa.string(), ["a", ""]), (pa.large_string(), ["é"]), (pa.bool_(), [True, False]), (pa.timestamp("us"), [5]), (pa.list_(pa.string()), [["x", None]])):
+        for given in (some, [*some, None], [None], [None, *some, None], []):
+            column = pa.array(given, kind)
+            assert values(column) == column.to_pylist() and [*map(type, values(column))] == [*map(type, column.to_pylist())]
+            assert values(column.slice(1)) == column.slice(1).to_pylist()
+
+
 def test_one_parse_for_a_shape_and_a_bounded_store(monkeypatch):
     parsed = []
     table = lambda text: parsed.append(text) or K._table(text, K._builder(0, True), None, True, False)
