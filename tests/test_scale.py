@@ -125,3 +125,40 @@ def test_passes_ship_no_columns_that_nobody_reads(spark):
 def test_documents_of_an_aggregation_go_to_all_cores(spark, name):
     """By a fixed number: otherwise Spark joins small texts to few partitions by their bytes."""
     assert "REPARTITION_BY_NUM" in plan_of(plans.QUERIES[name](spark, SF))
+
+
+AHEAD = ["", "Orders\n\n", "# h %s\n\n", "a\nb *c*\n\n", "***\n\n", "- a\n\n", "1. q\n\n", "> q\n\n", "```\n\n", "    c\n\n", "x\n===\n\n", "\n\n", "p\n\n# q\n\n"]
+MARKS = ["1. ", "2) ", "- ", "> ", "# ", "  ", "    ", "* ", "3. ", "      ", ""]
+WORDS = ["a", "B2", "12", "*x*", "_y_", "`c`", "%s 5%", "x.", "7.", "[l](/u)", "![i](/j)", "[r]", "**b** c", "a  ", "---", "===", "```", "12)", "*", "> q", "-", ">", "1.", "#"]
+
+
+@pytest.mark.parametrize(("types", "inline"), [(None, True), (None, False), (frozenset(["text", "listItem"]), True), (frozenset(["text", "list", "root"]), True)])
+def test_items_have_shapes_of_their_own(types, inline):
+    draw = random.Random(9)
+    builder = K._builder(0, inline)
+    table = lambda text: K._table(text, builder, types, inline, False)
+    parsed = []
+    shapes = Shapes(table, lambda text: parsed.append(text) or K._table(text, builder, None, inline, False), types)
+    for _ in range(3000):
+        bullet, words = draw.choice("-*+"), draw.choice([WORDS, WORDS[:14], WORDS[:14]])
+        line = lambda: "\n  " + draw.choice(MARKS) + draw.choice(MARKS) + " ".join(draw.choices(words, k=draw.randrange(1, 3)))
+        items = [(bullet if draw.random() < 0.97 else "-") + " " + draw.choice(MARKS[:5] + [""] * 6) + draw.choice(words) + "".join(line() for _ in range(draw.randrange(4))) for _ in range(draw.randrange(1, 5))]
+        text = draw.choice(AHEAD) + "\n".join(items) + draw.choice(["", "", "\n", "\n\n", "\n  ", "\nx"])
+        assert shapes.columns(text) == table(text), text
+    parsed.clear()
+    for k in range(200):  # as many shapes as a whole as there are lists, but a few of an item
+        text = "Orders\n\n" + "\n".join(f"- O {k}{j}" + "".join(f"\n  1. line *{draw.randrange(9)}*" for _ in range(draw.randrange(1, 8))) for j in range(10))
+        assert shapes.columns(text) == table(text)
+    assert len(parsed) <= 1 + 2 * 7
+
+
+def test_an_ancestor_brings_its_columns_along(spark):
+    """Without an exchange by ancestor and a second sort."""
+    texts = ["- a\n  1. b\n  1. c\n     - d\n- e\n\nf", "x\n\n- y\n  - z"]
+    tree = R.nodes(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).withColumn("name", F.concat_ws("-", "doc_id", "node_id"))
+    found = R.nearest_ancestor(tree, F.col("type") == "listItem", carried={"above": "name", "kind": "type"}).collect()
+    assert len(found) == tree.count() and any(r.above for r in found)
+    for r in found:
+        assert (r.above, r.kind) == ((None, None) if r.ancestor_id is None else (f"{r.doc_id}-{r.ancestor_id}", "listItem"))
+    plan = plan_of(plans.QUERIES["md_nearest_items"](spark, SF))
+    assert "ancestor_id" not in "".join(line for line in plan.split("\n") if "Exchange" in line or "Sort" in line)
