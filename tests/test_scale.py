@@ -7,6 +7,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
+from quillmark import functions as M
 from quillmark import operators as R
 from quillmark import plans
 from quillmark.functions import kernel as K
@@ -162,3 +163,31 @@ def test_an_ancestor_brings_its_columns_along(spark):
         assert (r.above, r.kind) == ((None, None) if r.ancestor_id is None else (f"{r.doc_id}-{r.ancestor_id}", "listItem"))
     plan = plan_of(plans.QUERIES["md_nearest_items"](spark, SF))
     assert "ancestor_id" not in "".join(line for line in plan.split("\n") if "Exchange" in line or "Sort" in line)
+
+
+@pytest.mark.parametrize("rows", [1, 3, 50, 10_000])
+def test_folds_of_alike_subtrees(spark, rows):
+    """Batches that end anywhere, lists that a later item makes loose, references ahead of their definitions, texts to escape."""
+    draw = random.Random(rows)
+    pieces = ["- a & <b>\n", "  1. *x* y\n", "- c\n", "\n", "  z\n", "  - n\n\n    m\n", "[r] ![r][] [k][r]\n\n", "[r]: /u 'T'\n\n", "# h `c`\n", "> q\n> - s\n", "par\nagraph  \nbr\n\n", "1. one\n", "2. two\n"]
+    texts = ["".join(draw.choices(pieces, k=draw.randrange(1, 16))) for _ in range(120)]
+    texts += ["\n".join(f"- i{j}\n  - k{j}" for j in range(20)) + "\n\n- loose", "\n".join(f"- i{j}\n  # h\n  p" for j in range(9)), "| a | b |\n|-|:-|\n| c | *d* | e |\n| f |", ""]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        html = {r.doc_id: r.html for r in R.nodes_to_html(R.nodes(docs, options=Options.gfm())).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    whole = docs.select("doc_id", M.md_to_unified_html(F.col("text"), Options.gfm()).alias("html")).collect()
+    assert html == {r.doc_id: r.html for r in whole}
+
+
+def test_html_takes_one_parse_and_one_fold(spark):
+    """Numbering nodes anew needs no pass in Python, nor lists and references sorts of their own, and a fold reads few columns."""
+    plan = plan_of(plans.QUERIES["md_pruned_lists"](spark, SF)).split("\n")
+    tree = plan[: next(k for k, line in enumerate(plan) if "Exchange" in line)]
+    assert sum("ArrowEvalPython" in line for line in plan) == 1
+    assert sum("Sort [" in line for line in tree) == 2 and not any("identifier" in line for line in tree if "Sort [" in line or "Window [" in line)
+    fold = next(line for line in plan if "MapInArrow" in line)
+    assert "_look" in fold and "reference_type" not in fold
