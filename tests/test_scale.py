@@ -191,3 +191,10 @@ def test_html_takes_one_parse_and_one_fold(spark):
     assert sum("Sort [" in line for line in tree) == 2 and not any("identifier" in line for line in tree if "Sort [" in line or "Window [" in line)
     fold = next(line for line in plan if "MapInArrow" in line)
     assert "_look" in fold and "reference_type" not in fold
+
+
+def test_inserts_are_laid_by_document_alone(spark):
+    """Nodes once and lines twice; neither by anchor nor behind the numbering."""
+    plan = plan_of(plans.QUERIES["md_inserted_paragraphs"](spark, SF))
+    exchanges = [line for line in plan.split("\n") if "Exchange" in line]
+    assert len(exchanges) == 3 and all("REPARTITION_BY_NUM" in line and "anchor" not in line for line in exchanges)
