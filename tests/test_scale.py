@@ -190,7 +190,7 @@ def test_html_takes_one_parse_and_one_fold(spark):
     assert sum("ArrowEvalPython" in line for line in plan) == 1
     assert sum("Sort [" in line for line in tree) == 2 and not any("identifier" in line for line in tree if "Sort [" in line or "Window [" in line)
     fold = next(line for line in plan if "MapInArrow" in line)
-    assert "_look" in fold and "reference_type" not in fold
+    assert "_head" in fold and "reference_type" not in fold and "depth_in_tree" not in fold
 
 
 def test_inserts_are_laid_by_document_alone(spark):
